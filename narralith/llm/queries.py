@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from narralith.llm._shared import table
 
@@ -23,3 +24,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe}
 SQL: dict[str, str] = {}
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import html_main
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES["op4_html"] = op4_html
