@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralith.llm._shared import table
+from narralith.llm._shared import cut, table
 
 
 def word_bpe_path() -> str:
@@ -34,3 +34,19 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_html"] = op4_html
+
+
+#: The fold whose labels are never learned from.
+HELD_OUT = "coalesce(crc32(cast({} as string)) % 4 = 2, false)"
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import quality_model as Q
+
+    stats = cut(Q.with_statistics(table(spark, sf_dir, "documents")))
+    model = Q.fit(stats, table(spark, sf_dir, "labels").where("not " + HELD_OUT.format("doc_id")))
+    scored = Q.score_statistics(stats, model)
+    return scored.select(F.col("id").alias("doc_id"), F.expr(HELD_OUT.format("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES["op6_quality"] = op6_quality
