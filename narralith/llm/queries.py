@@ -50,3 +50,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_quality"] = op6_quality
+
+
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import quality_rules as R
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counts = cut(R.with_counts(docs).drop("text"))
+    cutoffs = cut(R.thresholds(counts, table(spark, sf_dir, "labels")))
+    return R.verdicts(counts, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op3_rules"] = op3_rules
