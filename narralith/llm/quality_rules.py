@@ -47,37 +47,50 @@ MEASURES = {
 }
 
 
-def _pairs_of(words: Column) -> Column:
-    return F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<string>"))
+def _window_keys(words: Column) -> tuple[Column, Column]:
+    """The place bits' size and, per 3-word window, one sortable long: a hash of its words above, its place in the lowest bits.
 
+    As many low bits as the text has words need, so nearly all of the hash stays. The argument must
+    be a column: a lambda computes anything else anew for each element.
+    """
+    size = F.expr("shiftleft(1L, cast(ceil(log2(size(__words) + 1)) as int))")
+    key = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(-F.col("__size")).bitwiseOR(i.cast("long"))
+    return size, F.when(F.size(words) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), key)))
 
-def _covered(windows: Column) -> Column:
-    """Words in windows that occur more than once: the union of [i, i + 2] over such windows i."""
-    at = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    twice = F.filter(at, lambda x, k: (F.get(at, k - 1)["w"] == x["w"]) | (F.get(at, k + 1)["w"] == x["w"]))
-    return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+def _repeated(keys: Column, words: Column, size: Column) -> Column:
+    """Sorted places of the windows that occur more than once; equal hashes count only with equal words."""
+    place = lambda x: x.bitwiseAND(size - 1).cast("int")
+
+    def same(x: Column, y: Column) -> Column:
+        at, to = place(x), place(y)
+        return (x.bitwiseXOR(y).bitwiseAND(-size) == 0) & (F.get(words, at) == F.get(words, to)) & (F.get(words, at + 1) == F.get(words, to + 1)) & (F.get(words, at + 2) == F.get(words, to + 2))
+
+    hit = F.filter(keys, lambda x, k: F.coalesce(same(x, F.get(keys, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(keys, k + 1)), F.lit(False)))
+    return F.sort_array(F.transform(hit, place))
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the base counts of each whole text (and ``n_lines``, lines that hold a word)."""
     rest = [c for c in docs.columns if c not in (*COUNTS, "n_lines")]
     text = F.coalesce(F.col("__text"), F.lit(""))
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"))
     df = df.select(
         "*",
-        F.filter(F.split(text, BLANK + "+"), lambda w: w != "").alias("__words"),
-        F.filter(F.split(text, "\n"), lambda s: F.rtrim(F.translate(s, "\t\x0b\x0c\r", "    ")) != "").alias("__lines"),
+        F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK + "+")).alias("__words"),
+        F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(" \t\x0b\x0c\r")) != "").alias("__lines"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
     )
-    df = df.select("*", _pairs_of(F.col("__words")).alias("__windows"))
-    df = df.withColumn("__at", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), _covered(F.col("__windows"))))
+    size, keys = _window_keys(F.col("__words"))
+    df = df.select("*", size.alias("__size")).select("*", keys.alias("__keys"))
+    df = df.select("*", _repeated(F.col("__keys"), F.col("__words"), F.col("__size")).alias("__at"))
     at = F.col("__at")
     repeat = F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1), F.lit(2**31 - 1)) - x)), F.lit(0), lambda a, x: a + x)
     return df.select(
         *[F.col(f"`{c}`") for c in rest],
         F.size("__words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeat, F.lit(0)).cast("long").alias("n_repeat_words"),
