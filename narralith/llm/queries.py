@@ -62,3 +62,13 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_rules"] = op3_rules
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import ngram_join as J
+
+    found = J.join_components(table(spark, sf_dir, "documents"), J.Settings(words=4, percent=85))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+QUERIES["op9_ngram_join"] = op9_ngram_join
