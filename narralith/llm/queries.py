@@ -72,3 +72,27 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_ngram_join"] = op9_ngram_join
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import fingerprints as P
+
+    s = P.Settings()
+    df = P.with_next(table(spark, sf_dir, "documents"), "doc_id", "text", s)
+    n = F.length("text")
+    cut_at = F.floor(n / 4).cast("int")
+    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut_at), F.substring(F.col("next_text"), F.lit(1), cut_at)))
+    df = P.with_fingerprint(df.select("id", n.cast("long").alias("n_chars"), "fp", "next_fp", "edited"), F.col("edited"), "efp", s)
+    return df.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        P.as_text(F.col("fp")).alias("fingerprint"),
+        P.as_text(F.col("efp")).alias("edited_fingerprint"),
+        P.likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
+        P.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        P.containment(F.col("fp"), F.col("efp")).alias("contained_in_edited"),
+    )
+
+
+QUERIES["op8_fingerprint"] = op8_fingerprint
