@@ -96,3 +96,13 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_fingerprint"] = op8_fingerprint
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import suffix_dedup as D
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op5_suffix_dedup"] = op5_suffix_dedup
