@@ -1,13 +1,67 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes the documents that the one before has kept and returns documents again, but for the
+last, which returns bins. Rows whose doc_id is null pass the stages that decide by id unharmed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from narralith.llm import ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from narralith.llm._shared import cut, drop_cut, table
+
+#: Ids of documents to leave out that may be broadcast; more are joined.
+BROADCAST_IDS = 400_000
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``gone``."""
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier finds likelier good than bad."""
+    stats = cut(quality_model.with_statistics(docs))
+    model = quality_model.fit(stats, table(spark, sf_dir, "labels"))
+    drop_cut(stats)
+    return quality_model.keep_good(docs, model, 0.5)
+
+
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    counts = cut(quality_rules.with_counts(docs.select("doc_id", "lang", "text")).drop("text"))
+    cutoffs = cut(quality_rules.thresholds(counts, table(spark, sf_dir, "labels")))
+    gone = cut(quality_rules.verdicts(counts, cutoffs).where("not kept").select("doc_id").where("doc_id is not null").distinct())
+    drop_cut(counts)
+    return without(docs, gone)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the least id."""
+    found = ngram_join.join_components(docs, ngram_join.Settings(words=5, percent=80))
+    return without(docs, cut(found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()))
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that start elsewhere too; bytes of a character cut in two go as well."""
+    kept = suffix_dedup.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")).otherwise(F.col("text"))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the documents' words in sequences of the permitted lengths."""
+    return packing.pack_table(cut(docs.select("doc_id", packing.word_count("text").alias("n_tokens"))))
 
-from narralith.llm._shared import cut, table
 
-STAGES = []
+STAGES = [("quality classifier", classified), ("quality rules", ruled), ("n-gram Jaccard join", distinct), ("suffix-array dedup", unrepeated), ("best-fit packing", packed)]
 
+#: The classifier's numerical fit and the induced sort have no SQL form.
 ORACLE_SQL = None
 
 

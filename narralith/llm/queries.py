@@ -106,3 +106,13 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_suffix_dedup"] = op5_suffix_dedup
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import packing as K
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", K.word_count("text").alias("n_tokens"))
+    return K.pack_table(cut(docs))
+
+
+QUERIES["op1_packing"] = op1_packing
