@@ -116,3 +116,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_packing"] = op1_packing
+
+
+def op7_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import chaining as C
+
+    found = C.passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("other").alias("other_doc_id"), F.col("other_start").cast("long"), F.col("other_end").cast("long"), F.round("identity", 6).alias("identity"))
+
+
+QUERIES["op7_chaining"] = op7_chaining
