@@ -126,3 +126,21 @@ def op7_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_chaining"] = op7_chaining
+
+
+#: How the transcripts of a conversation mark its speakers, by conv_id modulo the number of styles: fixed values.
+STYLES = [("System: ", "User: ", "Assistant: ", "Tool: "), ("### Instruction\n", "### Human\n", "### Bot\n", "### Observation\n"), ("<|system|>", "<|user|>", "<|assistant|>", "<|tool|>"), ("[sys] ", "[customer] ", "[agent] ", "[function] "), ("System - ", "Q: ", "A: ", "Output: ")]
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from narralith.llm import chat_format as C
+
+    rows = table(spark, sf_dir, "conversations")
+    style = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(len(STYLES)))
+    marks = F.array(*[F.array(*map(F.lit, x)) for x in STYLES])
+    mark = F.coalesce(*[F.when(F.lower("role") == r, F.get(F.get(marks, style), F.lit(k))) for k, r in enumerate(C.ROLES)], F.lit(""))
+    found = C.turns(rows.select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text")))
+    return found.select(F.col("key").alias("conv_id"), F.col("row").alias("turn"), "line", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"))
+
+
+QUERIES["op10_chat"] = op10_chat
