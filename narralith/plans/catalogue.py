@@ -1,39 +1,6 @@
-"""Registered queries over the driver's tables and their SQL twins."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-@register(
-    "top_connected",
-    """
-    WITH step AS (
-      SELECT l_suppkey AS child, lead(l_suppkey) OVER (PARTITION BY l_orderkey
-        ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS parent FROM lineitem),
-    edge AS (SELECT DISTINCT child, parent FROM step WHERE parent IS NOT NULL AND parent <> child)
-    SELECT parent AS person_id, count(*) AS students FROM edge GROUP BY parent ORDER BY students DESC, person_id LIMIT 10
-    """,
-)
-def top_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    step = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("child"), F.lead("l_suppkey").over(w).alias("parent"))
-    edge = step.where("parent is not null and parent <> child").distinct()
-    return edge.groupBy(F.col("parent").alias("person_id")).agg(F.count("*").alias("students")).orderBy(F.desc("students"), "person_id").limit(10)
+from narralith.plans import evaluation_queries, graph_queries, name_queries, sequence_queries, text_queries  # noqa: F401
+from narralith.plans.registry import QUERIES, SQL  # noqa: F401
