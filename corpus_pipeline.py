@@ -15,9 +15,6 @@ from narralith.llm._shared import cut, drop_cut, table
 #: Ids of documents to leave out that may be broadcast; more are joined.
 BROADCAST_IDS = 400_000
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``gone``."""
     few = gone.count() <= BROADCAST_IDS
@@ -49,9 +46,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that start elsewhere too; bytes of a character cut in two go as well."""
-    kept = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    kept = suffix_dedup.remove_repeats(docs, as_text=True)
+    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

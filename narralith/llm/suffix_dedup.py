@@ -230,15 +230,18 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     return cut(_merged_spans(spans.unionByName(found)))
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns plus ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay)."""
+def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """The input's columns plus ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``: the bytes that stay.
+
+    With ``as_text`` these come as a string, without the rest of a character that a span has cut in two.
+    """
     spans = repeated_spans(docs, s, id_col, text_col)
     size = spans.agg(F.sum(64 + 8 * F.size("s"))).first()[0] or 0
     right = spans.select(F.col("id").alias("__id"), F.col("v").alias("__v"), F.col("s").alias("__s"), F.col("e").alias("__e"))
     rest = [f for f in docs.schema if f.name not in OUTPUT]
     left = docs.select(*[F.col(f"`{f.name}`") for f in rest])
     joined = left.join(F.broadcast(right) if size <= s.broadcast_bytes else right, F.col(id_col).eqNullSafe(F.col("__id")) & (F.crc32(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__v")), "left").drop("__id", "__v")
-    schema = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in OUTPUT[:3]], T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in OUTPUT[:3]], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     at = [f.name for f in rest].index(text_col)
 
     def run(batches):
@@ -254,7 +257,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
                 n.append(len(raw))
                 gone.append(len(raw) - len(stays))
                 spans_.append(len(s_ or ()))
-                kept.append(stays)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept, pa.binary())], names=[f.name for f in schema])
+                kept.append(stays.decode("utf-8", "ignore") if as_text else stays)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[f.name for f in schema])
 
     return joined.mapInArrow(run, schema)
