@@ -42,7 +42,7 @@ def index_map(text: Column) -> Column:
     places = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
     chars = F.transform(places, lambda i: F.struct(i.alias("i"), F.substring(text, i + 1, F.lit(1)).alias("c")))
     kept = F.filter(chars, lambda x: (x["c"] != "") & ~F.lit(gone).contains(x["c"]))
-    marked = F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["c"].rlike(blank).alias("s")))
+    marked = F.transform(kept, lambda x: F.struct(x["i"].alias("i"), F.regexp_like(x["c"], blank).alias("s")))
     first = F.filter(marked, lambda x, k: ~x["s"] | (k == 0) | ~F.coalesce(F.get(marked, k - 1)["s"], F.lit(False)))
     return F.transform(first, lambda x: x["i"])
 

@@ -24,7 +24,7 @@ class GoldError(Exception):
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(book_id, raw): one whole text per file, any line end as a line feed, undecodable bytes replaced."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book_id"), F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("raw"))
+    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book_id"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n").alias("raw"))
 
 
 def read_hadiths(spark: SparkSession, *paths: str) -> DataFrame:
