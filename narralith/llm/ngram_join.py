@@ -1,16 +1,17 @@
 """Similarity self-join of texts by the Jaccard measure of their word n-gram sets.
 
-1. A first pass counts all shingles into a sketch of fixed size, which orders them rare first.
+1. A first pass counts all shingles; a table of fixed size then orders them rare first.
 2. A second pass reduces every text to its set's size and signature and to its prefix: the n - ceil(t n) + 1
    rarest shingles. Two sets of similarity t share one of these.
 3. Texts with equal sets form a class, represented by its least id. Classes are joined on prefix
    shingles under the length and positional filters; each pair of classes is verified once, after
    a suffix filter (sizes of the sets' hash ranges), on the full sets.
-4. In each group of classes that share a shingle, all are first held against one of them (a star, so
-   linear in the group). The links found make components; only pairs of classes in different
-   components remain of interest, and when they are few these are all verified. While they are many,
-   further stars with other centres come first. So no pair that could join two components is
-   left out, and groups of thousands of near copies do not become pairs of all with all.
+4. Where only a few classes share a shingle their pairs are verified. In a larger group all are first
+   held against one of them, its hub (a star, so linear in the group). The links found make components; only pairs of classes in different
+   components remain of interest. The classes of a hub whose groups are still open meet in blocks
+   of bounded size, where overlaps are counted by matrix products and only links that join two
+   components leave the task. So no pair that could join two components is left out, and groups of
+   thousands of near copies never become rows of pairs.
 
 The result has one row per text with the least id reachable by links.
 
@@ -22,6 +23,7 @@ size; an empty table gives an empty table; only id and text are read, whatever o
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -45,10 +47,10 @@ BANDS = 16  # hash ranges of the suffix filter
 class Settings:
     words: int = 4
     percent: int = 85  # linked when 100 * intersection >= percent * union
-    sketch_bits: int = 18
+    sketch_bits: int = 20
     broadcast_ids: int = 400_000  # ids of one pass that may be broadcast; more are joined
-    stars: int = 3
-    spare: int = 8  # pairs between components that may be verified at once, per class in question
+    small: int = 6  # classes that share a shingle and are still paired with one another
+    block: int = 2048  # classes of one hub that a task holds on either side
 
 
 class _Words(dict):
@@ -82,30 +84,36 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
-    """Level of each sketch bucket: twice the logarithm of how many shingles of all texts fell in it."""
-    size, block = 1 << s.sketch_bits, 1 << 12
-    shift = np.uint64(64 - s.sketch_bits)
+    """Level of each bucket of shingles: twice the logarithm of the count of its most frequent shingle.
+
+    Each task counts all shingles of its texts and passes on those it saw more than once; their sums
+    are exact enough to tell frequent from rare, which is all that the order needs (any order is
+    correct). The result has a fixed size, whatever the corpus.
+    """
+    size, chunk = 1 << s.sketch_bits, 4 << 20
 
     def count(batches):
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                where, n = np.unique((shingles(t, s.words) >> shift).astype(np.int64), return_counts=True)
-                total[where] += n
-        used = [i for i in range(0, size, block) if total[i : i + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[i : i + block].tobytes() for i in used], pa.binary())], names=["at", "counts"])
+        held, n = [], 0
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[at] = sums.get(at, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["at", "counts"])
+        def flush():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h, c = h[c > 1], c[c > 1]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-    parts = docs.select(text_col).mapInArrow(count, "at long, counts binary")
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(shingles(t, s.words))
+                n += len(held[-1])
+                if n >= chunk:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    often = docs.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 4")
     level = np.zeros(size, np.uint8)
-    for r in parts.repartition(16, "at").mapInArrow(add, "at long, counts binary").collect():
-        level[r.at : r.at + block] = np.round(2 * np.log2(1 + np.frombuffer(r.counts, np.int64)))
+    for r in often.groupBy(F.shiftrightunsigned("h", 64 - s.sketch_bits).alias("at")).agg(F.max("c").alias("c")).toLocalIterator():
+        level[r["at"]] = round(2 * math.log2(r["c"]))
     return level
 
 
@@ -142,9 +150,8 @@ def _possible(a: str, b: str, s: Settings) -> Column:
     return length & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= _needed(n, m, s))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The rows of pairs (a, b) whose sets are similar enough; each set is built where it is needed."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def sets_of(nodes: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(id, grams, bands) of the documents in ``nodes`` (id), built from their texts where they are needed."""
     few = nodes.count() <= s.broadcast_ids
 
     def build(batches):
@@ -155,58 +162,135 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_c
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(nodes) if few else nodes, "id", "left_semi")
-    sets = cut(wanted.mapInArrow(build, schema))
+    return wanted.mapInArrow(build, schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The rows of pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("g"), F.col("bands").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("h"), F.col("bands").alias("y"))
     rows = pairs.join(left, "a").join(right, "b")
-    need = _needed(F.size("g"), F.size("h"), s)
-    suffix = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda t, v: t + v) >= need
-    both = F.size(F.array_intersect("g", "h"))
-    out = cut(rows.where(suffix).select("a", "b", (F.size("g") + F.size("h")).alias("both"), both.alias("same")).where(100 * F.col("same") >= s.percent * (F.col("both") - F.col("same"))).select("a", "b").distinct())
-    drop_cut(nodes)
-    drop_cut(sets)
+    suffix = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda t, v: t + v) >= _needed(F.size("g"), F.size("h"), s)
+    kept = rows.where(suffix).select("a", "b", (F.size("g") + F.size("h")).alias("both"), F.size(F.array_intersect("g", "h")).alias("same"))
+    return kept.where(100 * F.col("same") >= s.percent * (F.col("both") - F.col("same"))).select("a", "b")
+
+
+def links_between(roots: np.ndarray, grams: list[np.ndarray], side: np.ndarray | None, s: Settings) -> list[tuple[int, int]]:
+    """Links (i, j) between members of different components, one for each component that a member links with.
+
+    ``side`` tells two blocks apart, of which only pairs across count.
+    """
+    n = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), n)
+    _, place, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    shared = times[place] > 1
+    owner, column = owner[shared], column[place[shared]]
+    if not len(owner):
+        return []
+    names, size = np.unique(roots, return_counts=True)
+    # pairs within the largest component need no look: its members are only ever columns
+    rows = np.flatnonzero(side == 0) if side is not None else np.flatnonzero(roots != names[size.argmax()])
+    cols = np.flatnonzero(side == 1) if side is not None else np.arange(len(grams))
+    at = np.full(len(grams), -1)
+    at[rows] = np.arange(len(rows))
+    to = np.full(len(grams), -1)
+    to[cols] = np.arange(len(cols))
+    same = np.zeros((len(rows), len(cols)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = max(1, (8 << 20) // max(len(rows), len(cols), 1))
+    for lo in range(0, int(column[-1]) + 1, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        left, right = (np.zeros((k, width), np.float32) for k in same.shape)
+        o, c = owner[a:b], column[a:b] - lo
+        left[at[o][at[o] >= 0], c[at[o] >= 0]] = 1
+        right[to[o][to[o] >= 0], c[to[o] >= 0]] = 1
+        same += left @ right.T
+    out = []
+    for k, i in enumerate(rows):
+        hit = np.flatnonzero((100 * same[k] >= s.percent * (n[i] + n[cols] - same[k]) - 1e-3) & (roots[cols] != roots[i]))
+        if len(hit):
+            _, first = np.unique(roots[cols[hit]], return_index=True)
+            out += [(int(i), int(cols[hit[f]])) for f in first]
     return out
 
 
+def linked_in_blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): links between components among the members (hub, node, root) of each hub."""
+    big = members.groupBy("hub").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    dealt = members.join(big, "hub").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    dealt = dealt.select("hub", "node", "root", "mine", F.explode(pairs).alias("at")).join(sets.select(F.col("id").alias("node"), "grams"), "node")
+    dealt = dealt.select("hub", "at.i", "at.j", "node", "root", "mine", "grams").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    kind = members.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def run(batches):
+        at, held = None, []
+
+        def found(key, rows):
+            if len({r[1] for r in rows}) < 2:
+                return []
+            side = None if key[1] == key[2] else np.array([int(r[2] == key[2]) for r in rows])
+            got = links_between(np.array([r[1] for r in rows]), [r[3] for r in rows], side, s)
+            return [(rows[i][0], rows[j][0]) for i, j in got]
+
+        for b in batches:
+            out = []
+            flat, off = b.column(6).flatten().to_numpy(), b.column(6).offsets.to_numpy()
+            off = off - off[0]
+            for k, row in enumerate(zip(*(c.to_pylist() for c in b.columns[:6]))):
+                if row[:3] != at:
+                    if held:
+                        out += found(at, held)
+                    at, held = row[:3], []  # hub (with its size band), and the two blocks
+                held.append((*row[3:], flat[off[k] : off[k + 1]].copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], b.column(3).type) for k in (0, 1)], names=["a", "b"])
+            kept = b.column(3).type
+        if held:
+            out = found(at, held)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kept) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, schema)
+
+
 def join_components(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component) of every row."""
     level = rarity(docs, s, text_col)
     base = cut(reduced(docs, level, s, id_col, text_col))
     classes = base.where("n > 0").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).where("node is not null")
     grams = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    many = grams.groupBy("gram").agg(F.count("*").alias("c"), F.min(F.struct("n", "node", "pos")).alias("hub")).where("c > 1")
-    # Rows of shared shingles only, each with its group's first centre.
-    shared = cut(grams.join(many, "gram").select("gram", F.struct("n", "node", "pos").alias("me"), "hub"))
-
-    def star(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("me.node") != F.col("hub.node")).where(_possible("me", "hub", s)).select(F.least("me.node", "hub.node").alias("a"), F.greatest("me.node", "hub.node").alias("b")).distinct()
-
-    pairs = cut(star(shared))
-    links = verified(pairs, docs, s, id_col, text_col)
-    tested = pairs
-    shared = shared.select("gram", "me")
-    for turn in range(s.stars + 1):
-        roots = cut(components(links))
-        placed = shared.join(roots.select(F.col("node").alias("__n"), "root"), F.col("me.node") == F.col("__n"), "left").select("gram", "me", F.coalesce("root", "me.node").alias("root"))
-        # Groups whose members are in one component already have nothing more to say.
-        order = [F.struct(-F.col("me.n"), F.col("me.node"), F.col("me.pos")), F.struct(F.xxhash64("me.node"), F.col("me.node"), F.col("me.pos")), F.struct(F.col("root"), -F.col("me.pos"), F.col("me.pos"))][turn % 3]
-        open_ = placed.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("me", order).alias("hub"), F.min_by("root", order).alias("hub_root")).where("lo <> hi")
-        left = cut(placed.join(open_, "gram").select("gram", "me", "root", "c", "hub", "hub_root"))
-        size = left.agg(F.count("*").alias("rows"), F.sum(F.col("c") - 1).alias("twice")).first()
-        if not size.rows:
-            break
-        if size.twice / 2 <= s.spare * size.rows or turn == s.stars:
-            x = left.select("gram", F.col("me").alias("x"), F.col("root").alias("rx"))
-            y = left.select("gram", F.col("me").alias("y"), F.col("root").alias("ry"))
-            rest = x.join(y, "gram").where((F.col("rx") != F.col("ry")) & (F.col("x.node") < F.col("y.node")) & _possible("x", "y", s)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
-            links = cut(links.unionByName(verified(rest, docs, s, id_col, text_col)))
-            roots = cut(components(links))
-            break
-        more = cut(star(left.where("root <> hub_root")).join(tested, ["a", "b"], "left_anti"))
-        tested = cut(tested.unionByName(more))
-        links = cut(links.unionByName(verified(more, docs, s, id_col, text_col)))
-        shared = left.select("gram", "me")
+    many = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    # Rows of shared shingles only; few are, so what follows moves little.
+    shared = cut(grams.join(many, "gram").select("gram", "c", F.struct("n", "node", "pos").alias("me")))
+    few, large = shared.where(F.col("c") <= s.small), shared.where(F.col("c") > s.small)
+    # In a small group all pairs that pass the filters are candidates, in a large one those with its hub.
+    x, y = few.select("gram", F.col("me").alias("x")), few.select("gram", F.col("me").alias("y"))
+    pairs = x.join(y, "gram").where((F.col("x.node") < F.col("y.node")) & _possible("x", "y", s)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    hubs = large.groupBy("gram").agg(F.min("me").alias("hub"))
+    large = cut(large.join(hubs, "gram").select("gram", "me", "hub"))
+    star = large.where((F.col("me.node") != F.col("hub.node")) & _possible("me", "hub", s)).select(F.least("me.node", "hub.node").alias("a"), F.greatest("me.node", "hub.node").alias("b"))
+    pairs = cut(pairs.unionByName(star).distinct())
+    sets = cut(sets_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), docs, s, id_col, text_col))
+    links = cut(verified(pairs, sets, s))
+    drop_cut(sets)
+    drop_cut(shared)
+    roots = cut(components(links))
+    placed = large.join(roots.select(F.col("node").alias("__n"), "root"), F.col("me.node") == F.col("__n"), "left").select("gram", "me", "hub", F.coalesce("root", "me.node").alias("root"))
+    # Sets of similar size only: each is in its own size band and the next, and sizes that may link share one.
+    band = F.floor(F.log(F.col("me.n").cast("double")) / (math.log(100 / s.percent) * (1 + 1e-6))).cast("int")
+    placed = placed.withColumn("band", F.explode(F.array(band, band + 1)))
+    # Groups whose members are all in one component already have nothing more to say.
+    open_ = placed.groupBy("gram", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "band")
+    members = cut(placed.join(open_, ["gram", "band"], "left_semi").select(F.struct(F.col("hub.node").alias("hub"), "band").alias("hub"), F.col("me.node").alias("node"), "root").distinct())
+    sets = cut(sets_of(cut(members.select(F.col("node").alias("id")).distinct()), docs, s, id_col, text_col))
+    links = links.unionByName(linked_in_blocks(members, sets, s))
+    roots = cut(components(links))
+    for used in (large, sets, members):
+        drop_cut(used)
     owner = base.where("n > 0").groupBy("sig").agg(F.min("id").alias("node"))
     owner = owner.join(roots.select(F.col("node").alias("__n"), "root"), F.col("node") == F.col("__n"), "left").select("sig", F.coalesce("root", "node").alias("root"))
     # A class of thousands of copies is one row here, so the larger side can be split.

@@ -45,7 +45,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,settings", [(1, J.Settings()), (2, J.Settings(words=5, percent=80, spare=0, stars=2, broadcast_ids=0)), (3, J.Settings(spare=0, stars=1, sketch_bits=14))])
+@pytest.mark.parametrize("seed,settings", [(1, J.Settings()), (2, J.Settings(words=5, percent=80, small=1, block=3, broadcast_ids=0)), (3, J.Settings(small=2, block=1, sketch_bits=6))])
 def test_against_brute_force(spark, seed, settings):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n string").repartition(3)
@@ -69,5 +69,20 @@ def test_components_of_long_chains(spark):
     order = list(range(60))
     rng.shuffle(order)
     links = list(zip(order, order[1:])) + [(100 + i, 101 + i) for i in range(40)] + [(300, 300)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 60)} | {101 + i: 100 for i in range(40)}
+    for per_task in (10**6, 8):
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), per_task).collect()}
+        assert got == {i: 0 for i in range(1, 60)} | {101 + i: 100 for i in range(40)}
+
+
+def test_many_near_copies(spark):
+    rng = random.Random(7)
+    base = [f"v{rng.randrange(400)}" for _ in range(80)]
+    docs = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(30)}"
+        docs.append((i, " ".join(t[: rng.choice([80, 80, 70, 50])])))
+    s = J.Settings(block=40)
+    got = {r.id: (r.n, r.component) for r in J.join_components(spark.createDataFrame(docs, "doc_id long, text string"), s).collect()}
+    assert got == brute(docs, s)
