@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from narralith.llm._shared import cut, drop_cut
 from narralith.llm.components import components
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # an odd constant for the rolling combination
 BANDS = 16  # hash ranges of the suffix filter
@@ -90,7 +90,7 @@ def rarity(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
     are exact enough to tell frequent from rare, which is all that the order needs (any order is
     correct). The result has a fixed size, whatever the corpus.
     """
-    size, chunk = 1 << s.sketch_bits, 4 << 20
+    size, chunk = 1 << s.sketch_bits, 2 << 20
 
     def count(batches):
         held, n = [], 0

@@ -44,7 +44,7 @@ OUTPUT = ["n_bytes", "n_removed", "n_spans", "kept"]
 class Settings:
     length: int = 200
     gram: int = 64  # a power of two below length
-    piece: int = 1 << 21  # bytes hashed at once, at most 2^22
+    piece: int = 1 << 20  # bytes hashed at once, at most 2^22
     shard_bytes: int = 8 << 20
     broadcast_bytes: int = 48 << 20  # of all spans; more are joined by id
 
@@ -128,7 +128,8 @@ def anchored(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            # one text at a time: a batch of long ones is not held twice
+            texts = ((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2))
             for group in _pieces(texts, s):
                 size = np.array([len(p) for _, _, p in group])
                 offset = np.r_[0, np.cumsum(size)[:-1]]
