@@ -88,7 +88,10 @@ GAP = f"[{DELIM}]"
  sp AS (SELECT doc_id, CAST(10 AS BIGINT) AS s, CAST(n_chars // 2 AS BIGINT) AS e FROM documents WHERE lang = 'en' AND n_chars < 600)
  SELECT sp.doc_id, s, e, CASE WHEN s < e THEN 1 + count(*) FILTER (st.i > s AND st.i < e) ELSE 0 END AS n_words FROM sp LEFT JOIN st USING (doc_id) GROUP BY 1, 2, 3""")
 def word_counts(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' and n_chars < 600")
+    return _word_counts(table(spark, d, "documents").where("lang = 'en' and n_chars < 600"))
+
+
+def _word_counts(docs):
     chars = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     gap = F.lit(T.DELIMITERS).contains(F.col("ch"))
     starts = chars.withColumn("gap", gap).withColumn("before", F.lag("gap").over(W.partitionBy("doc_id").orderBy("pos"))).where("not gap and coalesce(before, true)").select("doc_id", "pos")
@@ -96,6 +99,12 @@ def word_counts(spark, d):
     return T.words_between(starts, spans, ["doc_id"]).select("doc_id", "s", "e", F.col("n_words").cast("long").alias("n_words"))
 
 
+@register()
+def word_counts_whole(spark, d):
+    """``word_counts`` of all documents and whole texts; the SQL of that query reads short English texts only."""
+    return _word_counts(table(spark, d, "documents"))
+
+
 SPANS = [(1, 1, 0, 10), (1, 2, 5, 20), (1, 3, 30, 99), (2, 1, 0, 5), (2, 2, 5, 9), (3, 1, 8, 4)]
 PARTS = [(1, 1, 0, 4), (1, 1, 3, 9), (1, 2, 6, 25), (2, 1, 1, 2), (2, 2, 6, 7)]
 SIZES = [(1, "x" * 50), (2, "y" * 20), (3, "z" * 5)]
