@@ -86,7 +86,16 @@ def span_violations(spark, d):
 @register(f"""WITH RECURSIVE {STEP}, {SPARSE}, reach AS (SELECT child AS a, parent AS b FROM sparse UNION SELECT r.a, s.parent FROM reach r JOIN sparse s ON r.b = s.child)
  SELECT (SELECT count(*) FROM sparse) AS edges, (SELECT count(*) FROM reach WHERE a = b) AS cyclic_nodes""")
 def cyclic_core(spark, d):
-    edge = sparse_edges(spark, d)
+    return _cyclic_core(sparse_edges(spark, d))
+
+
+@register()
+def cyclic_core_whole(spark, d):
+    """As its namesake, over all edges; so are the other queries named ``_whole``."""
+    return _cyclic_core(graph.cut(line_edges(spark, d)))
+
+
+def _cyclic_core(edge):
     core = graph.cyclic_core(edge)
     return edge.agg(F.count("*").alias("edges")).crossJoin(F.broadcast(core.select(F.countDistinct("child").alias("cyclic_nodes"))))  # one row each
 
@@ -98,14 +107,28 @@ def dag_rank(spark, d):
     return graph.ranks(sparse_edges(spark, d)).select("node", F.col("rank").cast("long").alias("rank"))
 
 
+@register()
+def dag_rank_whole(spark, d):
+    return graph.relaxed_ranks(line_edges(spark, d)).select("node", F.col("rank").cast("long").alias("rank"))
+
+
 @register(f"""WITH RECURSIVE {STEP}, {SPARSE}, node AS (SELECT child AS id FROM sparse UNION SELECT parent FROM sparse),
  walk AS (SELECT id, 0 AS depth FROM node WHERE id NOT IN (SELECT child FROM sparse) UNION SELECT s.child, w.depth + 1 FROM walk w JOIN sparse s ON s.parent = w.id),
  r AS (SELECT id, max(depth) AS rank FROM walk GROUP BY id)
  SELECT count(*) AS edges, count(*) FILTER (c.rank <= p.rank) AS violations, CAST(max(c.rank) AS BIGINT) AS max_rank FROM edge JOIN r c ON c.id = child JOIN r p ON p.id = parent""")
 def rank_violations(spark, d):
-    rank = graph.cut(graph.ranks(sparse_edges(spark, d)))
+    return _rank_violations(line_edges(spark, d), graph.cut(graph.ranks(sparse_edges(spark, d))))
+
+
+@register()
+def rank_violations_whole(spark, d):
+    edge = graph.cut(line_edges(spark, d))
+    return _rank_violations(edge, graph.cut(graph.relaxed_ranks(edge)))
+
+
+def _rank_violations(edge, rank):
     r = rank.select(F.col("node").alias("n"), "rank")
-    pairs = line_edges(spark, d).join(r.select(F.col("n").alias("child"), F.col("rank").alias("rc")), "child").join(r.select(F.col("n").alias("parent"), F.col("rank").alias("rp")), "parent")
+    pairs = edge.join(r.select(F.col("n").alias("child"), F.col("rank").alias("rc")), "child").join(r.select(F.col("n").alias("parent"), F.col("rank").alias("rp")), "parent")
     return pairs.agg(F.count("*").alias("edges"), F.count_if(F.expr("rc <= rp")).alias("violations"), F.max("rc").cast("long").alias("max_rank"))
 
 
@@ -115,15 +138,32 @@ REACH = f"""WITH RECURSIVE {STEP}, {SPARSE}, hop AS (SELECT child AS a, parent A
 
 @register(REACH.format(k=2) + " SELECT source, node, CAST(min(hops) AS BIGINT) AS hops FROM walk WHERE node <> source GROUP BY 1, 2")
 def k_reachable(spark, d):
-    edge = graph.cut(sparse_edges(spark, d))
+    return _k_reachable(graph.cut(sparse_edges(spark, d)))
+
+
+@register()
+def k_reachable_whole(spark, d):
+    return _k_reachable(graph.cut(line_edges(spark, d)))
+
+
+def _k_reachable(edge):
     sources = graph.neighbours(edge).select(F.col("a").alias("source")).distinct()
     return graph.within(sources, edge, 2).select("source", "node", F.col("hops").cast("long").alias("hops"))
 
 
 @register(REACH.format(k=3) + ", p AS (SELECT child AS n1, parent AS n2 FROM edge WHERE child <= 20) SELECT n1, n2, EXISTS (SELECT 1 FROM walk WHERE source = n1 AND node = n2) OR n1 = n2 AS reachable FROM p")
 def reach_pair(spark, d):
-    edge = graph.cut(sparse_edges(spark, d))
-    pairs = line_edges(spark, d).where("child <= 20").select(F.col("child").alias("n1"), F.col("parent").alias("n2"))
+    return _reach_pair(graph.cut(sparse_edges(spark, d)), line_edges(spark, d).where("child <= 20"))
+
+
+@register()
+def reach_pair_whole(spark, d):
+    edge = graph.cut(line_edges(spark, d))
+    return _reach_pair(edge, edge)
+
+
+def _reach_pair(edge, pairs):
+    pairs = pairs.select(F.col("child").alias("n1"), F.col("parent").alias("n2"))
     near = graph.within(pairs.select(F.col("n1").alias("source")).distinct(), edge, 3).select(F.col("source").alias("n1"), F.col("node").alias("n2"), F.lit(True).alias("r"))
     return pairs.join(near, ["n1", "n2"], "left").select("n1", "n2", F.coalesce("r", F.col("n1") == F.col("n2")).alias("reachable"))
 
@@ -132,8 +172,16 @@ def reach_pair(spark, d):
  q AS (SELECT a.c AS c1, b.c AS c2, a.s AS s1, b.s AS s2 FROM mine a JOIN mine b ON b.c = a.c + 1)
  SELECT c1, c2, bool_or(s1 = s2 OR w.node IS NOT NULL) AS reachable FROM q LEFT JOIN (SELECT DISTINCT source, node FROM walk) w ON w.source = s1 AND w.node = s2 GROUP BY 1, 2""")
 def any_reachable(spark, d):
-    edge = graph.cut(sparse_edges(spark, d))
-    mine = table(spark, d, "orders").where("o_custkey <= 60").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).distinct()
+    return _any_reachable(spark, d, graph.cut(sparse_edges(spark, d)), table(spark, d, "orders").where("o_custkey <= 60"))
+
+
+@register()
+def any_reachable_whole(spark, d):
+    return _any_reachable(spark, d, graph.cut(line_edges(spark, d)), table(spark, d, "orders"))
+
+
+def _any_reachable(spark, d, edge, orders):
+    mine = orders.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).distinct()
     a, b = mine.select(F.col("c").alias("c1"), F.col("s").alias("s1")), mine.select((F.col("c") - 1).alias("c1"), F.col("c").alias("c2"), F.col("s").alias("s2"))
     near = graph.within(mine.select(F.col("s").alias("source")).distinct(), edge, 2).select(F.col("source").alias("s1"), F.col("node").alias("s2"), F.lit(True).alias("r"))
     pairs = a.join(b, "c1").join(near, ["s1", "s2"], "left")

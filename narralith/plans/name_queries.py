@@ -73,7 +73,17 @@ def graph_match_best(spark, d):
 @register("""WITH n AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 10), p AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1] AND a.p_name < b.p_name)
  SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity, 1 - levenshtein(a, b) / greatest(length(a), length(b)) > 0.75 AS same FROM p""")
 def edit_similarity(spark, d):
-    n = table(spark, d, "part").where("p_size <= 10").select("p_name").distinct().withColumn("k", F.split("p_name", " ")[0])
+    return _edit_similarity(table(spark, d, "part").where("p_size <= 10"))
+
+
+@register()
+def edit_similarity_whole(spark, d):
+    """``edit_similarity`` of all parts."""
+    return _edit_similarity(table(spark, d, "part"))
+
+
+def _edit_similarity(part):
+    n = part.select("p_name").distinct().withColumn("k", F.split("p_name", " ")[0])
     pairs = n.select("k", F.col("p_name").alias("a")).join(n.select("k", F.col("p_name").alias("b")), "k").where("a < b")
     s = T.edit_similarity(F.col("a"), F.col("b"))
     return pairs.select("a", "b", F.round(s, 6).alias("similarity"), (s > 0.75).alias("same"))
