@@ -1,11 +1,13 @@
 """Main text of web pages by consensus host paths.
 
 1. Every page is parsed once; each container outside boilerplate is scored by the text of the
-   blocks it holds, less what lies in links.
+   blocks it holds, less what lies in links. A container of containers is scored by the text in all of
+   them, at a discount, and counts if it beats each of them: then the article has several parts.
 2. Each page votes, for its host, for the generalised tag-class paths of its best containers
    (digits in class names become ``#``); Spark sums the votes and picks one path per host.
 3. Every page is parsed again and its text taken from the containers at the host's path; a page
-   that has none there is read from its own best container.
+   that has none there is read from its own best container. So is a page of another template: one whose
+   own best container holds twice the text, unless the host's pages that have it mostly prefer another.
 
 The host table is broadcast only when its measured size is under ``broadcast_bytes``; a larger one
 is joined by host, where adaptive execution splits a host with very many pages.
@@ -54,6 +56,10 @@ MARKED = re.compile(
 #: What an open element of the first kind ends when one of the second begins.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "option": ("option", ("select",))}
 SEMANTIC = {"article": 1.2, "main": 1.1}
+#: What text counts in a container around the one that holds it, in a body or html, and for each further level.
+GATHERED, PAGE_GATHERED, LEVEL = 0.9, 0.65, 0.98
+#: How many times the text at the host's path a page's own container must hold to be read instead.
+MORE = 2
 #: Containers of a page that get a vote.
 VOTES = 3
 SCALE = 1000
@@ -147,6 +153,7 @@ def scores(page: str) -> dict[str, float]:
     """Score of each generalised container path of a page."""
     found: Counter = Counter()
     linked: Counter = Counter()
+    around: Counter = Counter()
     weight: dict[str, float] = {}
     open_: list[Node] = []
     for kind, a, node, links in walk(page):
@@ -167,12 +174,22 @@ def scores(page: str) -> dict[str, float]:
             linked[path] += n if links else 0
             for k in range(holder + 1):
                 up = open_[k]
+                if k < holder and not links and up.tag not in LEAF and up.tag not in LISTS:
+                    around[up.path] += n * (PAGE_GATHERED if up.tag in ("html", "body") else GATHERED) * LEVEL ** (holder - k - 1)
                 if up.tag in SEMANTIC:
                     weight[up.path] = SEMANTIC[up.tag]
                     if k < holder:
                         found[up.path] += n
                         linked[up.path] += n if links else 0
-    return {p: weight[p] * (n - linked[p]) for p, n in found.items()}
+    out = {p: weight[p] * (n - linked[p]) for p, n in found.items()}
+    for p in around:
+        if weight.get(p, 1.0) == 1.0:
+            around[p] += max(0, out.get(p, 0))
+    if around:
+        best = min(around, key=lambda p: (-around[p], len(p), p))
+        if around[best] > max(out.values()):
+            out[best] = around[best]
+    return out
 
 
 def best_paths(page: str) -> list[tuple[str, float]]:
@@ -212,15 +229,18 @@ def text_at(page: str, path: str) -> tuple[str, bool]:
     return "\n\n".join(blocks), found
 
 
-def main_text(page: str, host_path: str | None) -> str:
+def main_text(page: str, host_path: str | None, beaten: frozenset = frozenset()) -> str:
+    """Text at ``host_path`` or, where there is none or much less, at the page's own best path if it is not one of ``beaten``."""
     if not page:
         return ""
-    if host_path is not None:
-        text, found = text_at(page, host_path)
-        if found and text:
-            return text
+    text, found = text_at(page, host_path) if host_path is not None else ("", False)
     own = best_paths(page)
-    return text_at(page, own[0][0])[0] if own else text_at(page, "")[0]
+    if not own:
+        return text if found and text else text_at(page, "")[0]
+    if found and text and (own[0][0] == host_path or own[0][0] in beaten):
+        return text
+    mine = text_at(page, own[0][0])[0]
+    return text if found and text and len(mine) < MORE * len(text) else mine
 
 
 def host_of(url: str) -> F.Column:
@@ -228,35 +248,39 @@ def host_of(url: str) -> F.Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the container path that a host's pages voted for."""
-    ballots = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("votes", T.LongType())])
+    """(host, path, beaten): the container path that a host's pages voted for, and those that most pages that have them rank lower."""
+    ballots = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("votes", T.LongType()), T.StructField("firsts", T.LongType()), T.StructField("seen", T.LongType())])
 
     def vote(batches):
         for b in batches:
-            got: Counter = Counter()
+            got: dict = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 best = best_paths(page) if page else []
-                for path, score in best:
-                    got[host, path] += round(SCALE * score / best[0][1])
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["host", "path", "votes"])
+                for rank, (path, score) in enumerate(best):
+                    sums = got.setdefault((host, path), [0, 0, 0])
+                    sums[0] += round(SCALE * score / best[0][1])
+                    sums[1] += rank == 0
+                    sums[2] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in got], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in got.values()], pa.int64()) for i in range(3)], names=ballots.names)
 
     cast = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("page")).mapInArrow(vote, ballots)
-    total = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.length("path"), F.col("path"))).alias("path"))
+    total = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("firsts").alias("firsts"), F.sum("seen").alias("seen"))
+    beaten = F.collect_list(F.when(F.col("firsts") * 2 <= F.col("seen"), F.col("path")))
+    return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.length("path"), F.col("path"))).alias("path"), beaten.alias("beaten"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The input's columns, without ``html_col``, plus ``text_col``."""
-    winners = cut(host_paths(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("path").alias("__path")))
-    size = winners.agg(F.sum(F.octet_length("__host") + F.octet_length("__path") + 64)).first()[0] or 0
+    winners = cut(host_paths(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("beaten").alias("__beaten")))
+    size = winners.agg(F.sum(F.octet_length("__host") + F.octet_length("__path") + F.octet_length(F.array_join("__beaten", "")) + 16 * F.size("__beaten") + 64)).first()[0] or 0
     kept = [f for f in pages.schema if f.name not in (html_col, text_col)]
     schema = T.StructType([*kept, T.StructField(text_col, T.StringType())])
     side = F.broadcast(winners) if size <= broadcast_bytes else winners
-    joined = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_col).alias("__page"), host_of(url_col).alias("__host")).join(side, "__host", "left").select(*[F.col(f"`{f.name}`") for f in kept], "__page", "__path")
+    joined = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_col).alias("__page"), host_of(url_col).alias("__host")).join(side, "__host", "left").select(*[F.col(f"`{f.name}`") for f in kept], "__page", "__path", "__beaten")
 
     def read(batches):
         for b in batches:
-            texts = [main_text(p, path) for p, path in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist())]
+            texts = [main_text(p, path, frozenset(beaten or ())) for p, path, beaten in zip(*(b.column(len(kept) + k).to_pylist() for k in range(3)))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(texts, pa.string())], names=[f.name for f in schema])
 
     return joined.mapInArrow(read, schema)

@@ -37,3 +37,20 @@ def test_host_consensus(spark):
 
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("lead,body", [(40, 60), (60, 40), (20, 100), (100, 20)])
+def test_article_in_nested_parts(spark, lead, body):
+    page = '<html><body><div class="post"><div class="lead"><p>{}</p></div><div class="body"><p>{}</p></div></div></body></html>'
+    a, b = "a" * lead, "b" * body
+    assert H.main_text(page.format(a, b), None) == f"{a}\n\n{b}"
+    df = spark.createDataFrame([(i, "http://n.example/", page.format(a, b)) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract(df).collect()} == {f"{a}\n\n{b}"}
+
+
+def test_two_templates_of_a_host(spark):
+    first = '<html><body><div class="content"><p>{}</p></div></body></html>'
+    other = '<html><body><div class="content"><p>short</p></div><div class="story"><p>{}</p></div></body></html>'
+    rows = [(i, "http://t.example/", first.format(f"first template {i} " * 10)) for i in range(6)] + [(i, "http://t.example/", other.format(f"other template {i} " * 10)) for i in range(6, 8)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([f"{'first' if i < 6 else 'other'} template {i}"] * 10) for i in range(8)}
