@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes the documents that the one before has kept and returns documents again, but for the
-last, which returns bins. Rows whose doc_id is null pass the stages that decide by id unharmed.
+last, which returns bins. Stages decide by row, so rows that share a doc_id or have none are judged by
+their own texts.
 """
 
 from __future__ import annotations
@@ -15,10 +16,15 @@ from narralith.llm._shared import cut, drop_cut, table
 #: Ids of documents to leave out that may be broadcast; more are joined.
 BROADCAST_IDS = 400_000
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``gone``."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, fixed by writing them down."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered ``rows`` less those whose number is in ``gone``, without their numbers."""
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti").drop("__row")
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +37,21 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs."""
-    counts = cut(quality_rules.with_counts(docs.select("doc_id", "lang", "text")).drop("text"))
+    rows = numbered(docs)
+    counts = cut(quality_rules.with_counts(rows.select("__row", "doc_id", "lang", "text")).drop("text"))
     cutoffs = cut(quality_rules.thresholds(counts, table(spark, sf_dir, "labels")))
-    gone = cut(quality_rules.verdicts(counts, cutoffs).where("not kept").select("doc_id").where("doc_id is not null").distinct())
+    gone = cut(quality_rules.verdicts(counts, cutoffs).where("not kept").select("__row"))
     drop_cut(counts)
-    return without(docs, gone)
+    return without(rows, gone).select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the least id."""
-    found = ngram_join.join_components(docs, ngram_join.Settings(words=5, percent=80))
-    return without(docs, cut(found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()))
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row of the document with the least id; one without id only if no other has one."""
+    rows = numbered(docs)
+    found = ngram_join.join_components(rows.select("__row", "text"), ngram_join.Settings(words=5, percent=80), "__row")
+    placed = cut(found.select(F.col("id").alias("__row"), "component").join(rows.select("__row", "doc_id"), "__row"))
+    stays = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"), F.count("*").alias("c")).where("c > 1")
+    return without(rows, cut(placed.join(stays, "component").where("__row <> best.__row").select("__row"))).select(docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

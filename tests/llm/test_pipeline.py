@@ -39,3 +39,27 @@ def test_run_is_the_stages(spark):
     assert P.run(spark, SF).count() > 0
     assert P.ORACLE_SQL is None
     assert set(queries.QUERIES) == {f"op{k}_{n}" for k, n in enumerate(("packing", "bpe", "rules", "html", "suffix_dedup", "quality", "chaining", "fingerprint", "ngram_join", "chat"), 1)}
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400).collect()
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [r for r in docs if labels.get(r.doc_id) == 1 and len(r.text.split()) >= 80]
+    df = spark.createDataFrame(good, schema)
+    alone = [r.asDict() for r in P.unrepeated(spark, P.distinct(spark, P.ruled(spark, df, SF), SF), SF).orderBy("doc_id").collect()][:12]
+    row = lambda r, **k: {**r, **k}
+    rows = [*alone, *alone[:4], *alone[:2]]  # repeated under one id
+    rows += [row(r, doc_id=None) for r in alone[2:6]]  # copies without id
+    mixed = [r["text"] + " " + s["text"] for r, s in zip(alone[6:8], alone[8:10])]
+    bare = [row(alone[0], doc_id=None, text=" ".join(reversed(x.split()))) for x in mixed]
+    rows += bare * 3  # texts that only rows without id have
+    rows += [row(alone[0], text="too short"), row(alone[0], doc_id=None, text="short too")]
+    given = spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema)
+    want = sorted([(str(r["doc_id"]), r["text"]) for r in alone] + [("None", r["text"]) for r in bare])
+    kept = P.ruled(spark, given, SF)
+    passed = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert {r[1] for r in passed}.isdisjoint({"too short", "short too"}) and {t for _, t in want[:-2]} & {t for _, t in passed}
+    one = P.distinct(spark, kept, SF)
+    assert sorted((str(r.doc_id), r.text) for r in one.collect()) == [r for r in want if r in passed] and len(one.collect()) >= 10
+    assert all(r.text for r in P.unrepeated(spark, one, SF).collect())
