@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts; see :func:`text_batches`."""
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,3 +39,34 @@ def drop_cut(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def released(run):
+    """A mapInArrow function whose worker gives its memory back at the end of each task; workers serve task after task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not this C library
+                pass
+
+    return wrapped
+
+
+#: Rows of a batch between Spark and its Python workers: a row is a whole text here, not a number.
+BATCH_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let batches of texts be small, unless the session has chosen their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -45,7 +45,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,settings", [(1, J.Settings()), (2, J.Settings(words=5, percent=80, small=1, block=3, broadcast_ids=0)), (3, J.Settings(small=2, block=1, sketch_bits=6))])
+@pytest.mark.parametrize("seed,settings", [(1, J.Settings()), (2, J.Settings(words=5, percent=80, small=1, block=3, broadcast_ids=0)), (3, J.Settings(small=2, block=1, sketch_bits=6)), (4, J.Settings(small=1, block=50, block_bytes=2000, broadcast_ids=0))])
 def test_against_brute_force(spark, seed, settings):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n string").repartition(3)
@@ -83,6 +83,6 @@ def test_many_near_copies(spark):
         for _ in range(rng.randint(0, 9)):
             t[rng.randrange(len(t))] = f"e{rng.randrange(30)}"
         docs.append((i, " ".join(t[: rng.choice([80, 80, 70, 50])])))
-    s = J.Settings(block=40)
+    s = J.Settings(block=40, small=6)
     got = {r.id: (r.n, r.component) for r in J.join_components(spark.createDataFrame(docs, "doc_id long, text string"), s).collect()}
     assert got == brute(docs, s)
