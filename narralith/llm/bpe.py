@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from narralith.llm._shared import released
+
 #: Words a Python worker remembers; it starts afresh beyond that, which bounds its memory.
 MEMO_WORDS = 300_000
 
@@ -213,7 +215,7 @@ def encode_texts(df: DataFrame, path: str, text_col: str = "text", ids_col: str
             ids = [bpe.encode(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def digest_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,4 +236,4 @@ def digest_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 d.append(sha(" ".join([x[1] for x in found]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)

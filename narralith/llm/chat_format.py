@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralith.llm._shared import cut
+from narralith.llm._shared import cut, released
 
 ROLES = ["system", "user", "assistant", "tool"]
 
@@ -174,7 +174,7 @@ def _by_block(rows: DataFrame, make, schema: T.StructType) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def turns(rows: DataFrame, s: Settings = Settings(), key_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:

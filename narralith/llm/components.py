@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narralith.llm._shared import cut, drop_cut
+from narralith.llm._shared import cut, drop_cut, released
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -64,7 +64,7 @@ def components(links: DataFrame, per_task: int = LINKS_PER_TASK) -> DataFrame:
     rows, least = edges.count(), None
     while least is None or rows < 0.7 * least:
         tasks = max(1, -(-rows // per_task))
-        forest = cut(edges.repartition(tasks).mapInArrow(_contract, edges.schema))
+        forest = cut(edges.repartition(tasks).mapInArrow(released(_contract), edges.schema))
         drop_cut(edges)
         edges, least = forest, rows
         if tasks == 1:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralith.llm._shared import cut
+from narralith.llm._shared import cut, released
 
 TAG = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -263,7 +263,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     sums[2] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in got], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in got.values()], pa.int64()) for i in range(3)], names=ballots.names)
 
-    cast = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("page")).mapInArrow(vote, ballots)
+    cast = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("page")).mapInArrow(released(vote), ballots)
     total = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("firsts").alias("firsts"), F.sum("seen").alias("seen"))
     beaten = F.collect_list(F.when(F.col("firsts") * 2 <= F.col("seen"), F.col("path")))
     return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.length("path"), F.col("path"))).alias("path"), beaten.alias("beaten"))
@@ -283,4 +283,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
             texts = [main_text(p, path, frozenset(beaten or ())) for p, path, beaten in zip(*(b.column(len(kept) + k).to_pylist() for k in range(3)))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(texts, pa.string())], names=[f.name for f in schema])
 
-    return joined.mapInArrow(read, schema)
+    return joined.mapInArrow(released(read), schema)

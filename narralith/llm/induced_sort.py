@@ -24,7 +24,9 @@ import numpy as np
 
 #: Tuples handled at once, tuples a queue holds in memory, names sorted in memory.
 BATCH, HELD, BASE = 1 << 18, 2 << 20, 4 << 20
-NEVER = 255
+#: Common prefixes as they travel; the greatest value stands for no bound.
+LCP = np.uint16
+NEVER = 65535
 
 
 class Queue:
@@ -34,7 +36,7 @@ class Queue:
         self.folder, self.limit, self.held = folder, held, 0
         self.chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         self.files: dict[int, str] = {}
-        self.kind = np.dtype([("pos", "<i8"), ("lcp", "u1")])
+        self.kind = np.dtype([("pos", "<i8"), ("lcp", LCP)])
 
     def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.chunks[symbol].append((pos, lcp))
@@ -127,7 +129,7 @@ class Inducer:
 
     def __init__(self, text: np.ndarray, symbols: int, queue: Queue, cap: int):
         self.text, self.queue, self.cap = text, queue, cap
-        self.since = np.full(symbols, NEVER, np.uint8) if cap else None
+        self.since = np.full(symbols, NEVER, LCP) if cap else None
         self.seen = np.zeros(symbols, bool) if cap else None
 
     def feed(self, pos: np.ndarray, lcp: np.ndarray, keep) -> None:
@@ -151,18 +153,18 @@ class Inducer:
                 start[first] = 0
                 least = low.between(start, at + 1)
                 least[first] = np.minimum(least[first], self.since[group])
-                value = np.minimum(least.astype(np.int16) + 1, self.cap).astype(np.uint8)
+                value = np.minimum(least.astype(np.int32) + 1, self.cap).astype(LCP)
                 value[first] = np.where(self.seen[group], value[first], 0)
             self.since = np.minimum(self.since, whole)
             if len(at):
                 self.seen[group] = True
                 last = at[np.r_[first[1:], len(at)] - 1]
-                rest = np.full(len(last), NEVER, np.uint8)
+                rest = np.full(len(last), NEVER, LCP)
                 inner = last + 1 < len(pos)
                 rest[inner] = low.between(last[inner] + 1, np.full(inner.sum(), len(pos)))
                 self.since[group] = rest
         elif len(at):
-            value = np.zeros(len(at), np.uint8)
+            value = np.zeros(len(at), LCP)
         if len(at):
             ends = np.r_[first[1:], len(at)]
             for g, a, b in zip(group.tolist(), first.tolist(), ends.tolist()):
@@ -185,7 +187,7 @@ def commons(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndar
         alive, x, y = alive[ok], x[ok], y[ok]
         alive = alive[text[x] == text[y]]
         out[alive] += 1
-    return out.astype(np.uint8)
+    return out.astype(LCP)
 
 
 def lms_positions(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +276,7 @@ def induce(text: np.ndarray, symbols: int, cap: int, folder: str, visit, base: i
             induce(rank, int(rank.max()) + 1, 0, folder, lambda p, _: parts.append(p.copy()), base, held)
             order = np.concatenate(parts)[::-1]
         at = lms[order]
-        lcp = np.r_[np.uint8(0), commons(text, at[:-1], at[1:], cap)] if cap else np.zeros(len(at), np.uint8)
+        lcp = np.r_[LCP(0), commons(text, at[:-1], at[1:], cap)] if cap else np.zeros(len(at), LCP)
         sym = text[at]
         cuts = np.flatnonzero(np.r_[True, sym[1:] != sym[:-1], True])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -285,7 +287,7 @@ def induce(text: np.ndarray, symbols: int, cap: int, folder: str, visit, base: i
     inducer = Inducer(text, symbols, waiting, cap)
     used = np.unique(text).tolist()
     if int(text[-1]) in used:
-        waiting.push(int(text[-1]), np.array([n - 1]), np.zeros(1, np.uint8))  # the end precedes everything
+        waiting.push(int(text[-1]), np.array([n - 1]), np.zeros(1, LCP))  # the end precedes everything
         if cap:
             inducer.seen[int(text[-1])] = True
             inducer.since[int(text[-1])] = 0
@@ -320,7 +322,7 @@ def induce(text: np.ndarray, symbols: int, cap: int, folder: str, visit, base: i
             if cap:
                 link = link if last < 0 or link is None else link
                 lead = common(text, last, int(pos[0]), cap) if last >= 0 and link == 0 else link
-                lcp = np.r_[np.uint8(lead), above[:-1]]
+                lcp = np.r_[LCP(lead), above[:-1]]
                 link, last = int(above[-1]), int(pos[-1])
             else:
                 lcp = above
@@ -330,6 +332,8 @@ def induce(text: np.ndarray, symbols: int, cap: int, folder: str, visit, base: i
 
 def repeated_starts(text: np.ndarray, symbols: int, length: int, base: int = BASE, held: int = HELD, flags: np.ndarray | None = None) -> np.ndarray:
     """Flags of the positions whose ``length`` symbols also start at another position."""
+    if not 0 < length < NEVER:
+        raise ValueError(f"length must be from 1 to {NEVER - 1}")
     found = flags if flags is not None else np.zeros(len(text), bool)
     last = [-1]
 

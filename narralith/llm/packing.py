@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from narralith.llm._shared import released
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -136,4 +138,4 @@ def pack_table(items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
             yield from done()
 
     dealt = rows.select(F.pmod(F.xxhash64("id", "n"), F.lit(shards)).alias("shard"), "id", "n").repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n"), "id")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(released(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralith.llm._shared import cut, drop_cut
+from narralith.llm._shared import cut, drop_cut, released
 
 #: Bytes whose shares are statistics of their own.
 BYTE_GROUPS = {
@@ -121,7 +121,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "stats"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema)
 
 
 def _matrix(column) -> np.ndarray:
@@ -139,7 +139,7 @@ def _sum_blobs(df: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
-    parts = df.repartition(8).mapInArrow(add, "blob binary").collect()
+    parts = df.repartition(8).mapInArrow(released(add), "blob binary").collect()
     return sum((np.frombuffer(r.blob) for r in parts), np.zeros(width))
 
 
@@ -156,7 +156,7 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings(), la
             total += np.concatenate([x.sum(0), (x * x).sum(0), [len(x), y.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
-    m = _sum_blobs(rows.select("stats", "y").mapInArrow(moments, "blob binary"), 2 * k + 2)
+    m = _sum_blobs(rows.select("stats", "y").mapInArrow(released(moments), "blob binary"), 2 * k + 2)
     n, positive = m[-2], m[-1]
     mean = m[:k] / max(n, 1)
     scale = np.sqrt(np.maximum(m[k : 2 * k] / max(n, 1) - mean**2, 0))
@@ -176,7 +176,7 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings(), la
             b_ += z.T @ b.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel(), b_]).tobytes()], pa.binary())], names=["blob"])
 
-    sums = _sum_blobs(rows.where("not later").select("stats", "y").mapInArrow(normal, "blob binary"), (d + 1) * (d + 2))
+    sums = _sum_blobs(rows.where("not later").select("stats", "y").mapInArrow(released(normal), "blob binary"), (d + 1) * (d + 2))
     a, b_ = sums[: (d + 1) ** 2].reshape(d + 1, d + 1), sums[(d + 1) ** 2 :]
     fitted = Model(mean, scale, model.omega, model.phase, np.linalg.solve(a + settings.ridge * max(a[-1, -1], 1) * np.diag([1.0] * d + [1e-6]) + 1e-9 * np.eye(d + 1), b_), np.zeros(0), np.zeros(0), model.base)
 
@@ -185,9 +185,9 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings(), la
             at = np.round(np.clip(fitted.raw(_matrix(b.column(0))), -1, 2) * settings.grid).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1)], names=["bin", "y"])
 
-    table = rows.where("later").select("stats", "y").mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("t"), F.count("*").alias("c")).orderBy("bin").collect()
+    table = rows.where("later").select("stats", "y").mapInArrow(released(bins), "bin long, y double").groupBy("bin").agg(F.sum("y").alias("t"), F.count("*").alias("c")).orderBy("bin").collect()
     if not table:
-        table = rows.select("stats", "y").mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("t"), F.count("*").alias("c")).orderBy("bin").collect()
+        table = rows.select("stats", "y").mapInArrow(released(bins), "bin long, y double").groupBy("bin").agg(F.sum("y").alias("t"), F.count("*").alias("c")).orderBy("bin").collect()
     drop_cut(rows)
     knots, levels = isotonic(np.array([r.bin / settings.grid for r in table]), np.array([r.t for r in table]), np.array([float(r.c) for r in table]))
     return Model(mean, scale, fitted.omega, fitted.phase, fitted.beta, knots, levels, model.base)
@@ -201,7 +201,7 @@ def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["id", "score"])
 
-    return stats.select("id", "stats").mapInArrow(run, schema)
+    return stats.select("id", "stats").mapInArrow(released(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -213,4 +213,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "
             x = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

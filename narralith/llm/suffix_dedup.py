@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narralith.llm import induced_sort
-from narralith.llm._shared import cut, drop_cut
+from narralith.llm._shared import cut, drop_cut, released
 
 OUTPUT = ["n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -139,7 +139,7 @@ def anchored(docs: DataFrame, s: Settings) -> DataFrame:
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), batch.column(0).take(take), batch.column(1).take(take), pa.array((a + place).astype(np.int32)), pa.array((b + place).astype(np.int32))], names=[f.name for f in schema])
 
-    return docs.select("id", "v", "text").mapInArrow(run, schema)
+    return docs.select("id", "v", "text").mapInArrow(released(run), schema)
 
 
 def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
@@ -171,7 +171,7 @@ def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
                     out += [(*names[k], lo, hi - 1) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "content", "lo", "hi"])
 
-    return rows.mapInArrow(run, "key long, content long, lo int, hi int")
+    return rows.mapInArrow(released(run), "key long, content long, lo int, hi int")
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,12 +194,12 @@ def _merged_spans(spans: DataFrame) -> DataFrame:
             done = [_merge(list(zip(s, e))) for s, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[x for x, _ in d] for d in done], pa.list_(pa.int32())), pa.array([[y for _, y in d] for d in done], pa.list_(pa.int32()))], names=["id", "v", "s", "e"])
 
-    return lists.mapInArrow(run, schema)
+    return lists.mapInArrow(released(run), schema)
 
 
 def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, v, s, e): byte spans to remove of each text that has any; v is the text's CRC-32."""
-    texts = docs.select(F.col(id_col).alias("id"), F.crc32(F.coalesce(text_col, F.lit(""))).alias("v"), F.col(text_col).alias("text"))
+    """(id, v, s, e): byte spans to remove of each text that has any; v is a 64-bit hash of the text, which tells rows of one id apart."""
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("v"), F.col(text_col).alias("text"))
     every = cut(anchored(texts, s))
     often = every.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1").select("key", (F.col("lo") == F.col("hi")).alias("one"))
     some = cut(every.join(often, "key"))
@@ -212,7 +212,8 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     total = kinds.agg(F.sum(F.col("at.b") - F.col("at.a") + s.length)).first()[0] or 0
 
     wanted = kinds.groupBy("at.id", "at.v").agg(F.collect_list(F.struct("key", "content", "at.a", "at.b")).alias("of"))
-    few = wanted.count() <= s.broadcast_bytes // 4096
+    size = wanted.agg(F.sum(64 + 40 * F.size("of"))).first()[0] or 0
+    few = size <= s.broadcast_bytes
     right = wanted.select(F.col("id").alias("__id"), F.col("v").alias("__v"), "of")
     rows = texts.join(F.broadcast(right) if few else right, F.col("id").eqNullSafe(F.col("__id")) & (F.col("v") == F.col("__v"))).select("text", "of")
 
@@ -225,7 +226,7 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
                     yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in part], pa.int64()), pa.array([x["content"] for x in part], pa.int64()), pa.array([raw[x["a"] : x["b"] + s.length] for x in part], pa.binary())], names=["key", "content", "bytes"])
 
     shards = max(1, -(-total // s.shard_bytes))
-    runs = repeated_runs(rows.mapInArrow(fetch, "key long, content long, bytes binary").repartition(shards, "key"), s)
+    runs = repeated_runs(rows.mapInArrow(released(fetch), "key long, content long, bytes binary").repartition(shards, "key"), s)
     runs = runs.join(kinds.where("c = 1").select("key", "content"), ["key", "content"], "left_semi").unionByName(whole)
     found = mixed.join(runs, ["key", "content"]).select("id", "v", *span(F.col("a") + F.col("lo"), F.col("a") + F.col("hi")))
     return cut(_merged_spans(spans.unionByName(found)))
@@ -241,7 +242,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     right = spans.select(F.col("id").alias("__id"), F.col("v").alias("__v"), F.col("s").alias("__s"), F.col("e").alias("__e"))
     rest = [f for f in docs.schema if f.name not in OUTPUT]
     left = docs.select(*[F.col(f"`{f.name}`") for f in rest])
-    joined = left.join(F.broadcast(right) if size <= s.broadcast_bytes else right, F.col(id_col).eqNullSafe(F.col("__id")) & (F.crc32(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__v")), "left").drop("__id", "__v")
+    joined = left.join(F.broadcast(right) if size <= s.broadcast_bytes else right, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__v")), "left").drop("__id", "__v")
     schema = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in OUTPUT[:3]], T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     at = [f.name for f in rest].index(text_col)
 
@@ -261,4 +262,4 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
                 kept.append(stays.decode("utf-8", "ignore") if as_text else stays)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[f.name for f in schema])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)

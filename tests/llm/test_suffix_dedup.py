@@ -83,3 +83,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in D.remove_repeats(df).collect())
     assert got == [(0, 0, 0, 0), (0, 250, 250, 1), (1, 300, 300, 1), (1, 300, 300, 1), (2, 300, 250, 1)]
     assert D.remove_repeats(df.where("false")).collect() == []
+
+
+def test_long_common_prefixes():
+    t = np.array(([1, 2, 3, 4, 5, 6, 7] * 50)[:300] + [9] + ([1, 2, 3, 4, 5, 6, 7] * 50)[:300])
+    for length in (250, 290, 300):
+        want = [any(t[i : i + length].tolist() == t[j : j + length].tolist() for j in range(len(t) - length + 1) if i != j) for i in range(len(t) - length + 1)]
+        assert I.repeated_starts(t, 10, length).tolist()[: len(want)] == want and any(want)
+    with pytest.raises(ValueError):
+        I.repeated_starts(t, 10, 70_000)
