@@ -13,8 +13,9 @@ the blocks' borders; then each block is decoded alone. A turn that runs on over
 together by the place of its first line.
 
 Cases: null text is an empty line; a null conversation key is a conversation of its own; rows with
-equal order are taken in the order of their text, repeated rows are kept; a conversation whose first
-line has no marker begins with the likeliest role; blank lines at a turn's ends are left out; an
+equal order are taken in the order of their text, and each is a turn of its own if it is marked, repeated rows too; a conversation whose first
+line has no marker begins with the likeliest role; very long texts are read whole, a line at a time; rows
+without order are all at 0; blank lines at a turn's ends are left out; an
 empty table gives an empty table; only key, order and text are read.
 """
 
@@ -42,9 +43,9 @@ SPEAKERS = {
     "assistant": "assistant ai bot gpt model agent a answer response reply support teacher speaker_b helper chatbot",
     "tool": "tool function tool_result function_result observation output",
 }
-ROLE_OF = {name: r for r, names in enumerate(SPEAKERS.values()) for name in names.split()}
-_NAMES = "|".join(sorted(ROLE_OF, key=len, reverse=True)).replace("_", "[ _]?")
-MARKER = re.compile(rf"^\s*(?:(?P<strong><\|(?:im_start\|>)?\s*|\[INST\]|\[|<|#{{1,4}}\s*|\*\*|>+\s*)?(?P<name>{_NAMES})\s*\d{{0,3}}\s*(?P<end>\|?>|\]|\*\*\s*:?|:\*\*|:|-|—|\)|$)\s*)", re.I)
+ROLE_OF = {name.replace("_", ""): r for r, names in enumerate(SPEAKERS.values()) for name in names.split()}
+_NAMES = "|".join(sorted(" ".join(SPEAKERS.values()).split(), key=len, reverse=True)).replace("_", "[ _]?")
+MARKER = re.compile(rf"^\s*(?:(?P<strong><\|(?:im_start\|>)?\s*|\[INST\]|\[|<|#{{1,4}}\s*|\*\*|>+\s*)?(?P<name>{_NAMES})\s*\d{{0,3}}\s*(?P<end>\|?>|\]|\*\*\s*:?|:\*\*|:|-|—|\)|$)\s*)", re.I | re.A)
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ def step_scores(s: Settings) -> np.ndarray:
             t[state, 2 * r + 1] = s.longer
             t[state, :N:2] += (1 - s.longer) * turn / turn.sum()
     t[N, :N:2] = [0.2, 0.6, 0.15, 0.05]
-    return _LOG(t)
+    # a millionth of a preference for each step, so that paths of equal score do not depend on where blocks end
+    return _LOG(t) + 1e-6 * np.sin(np.arange(1, t.size + 1)).reshape(t.shape)
 
 
 def read_marker(line: str) -> tuple[int, float, int]:
@@ -80,7 +82,7 @@ def read_marker(line: str) -> tuple[int, float, int]:
     m = MARKER.match(line)
     if not m:
         return -1, 0.0, 0
-    role = ROLE_OF[m["name"].lower().replace(" ", "_")] if m["name"].lower().replace(" ", "_") in ROLE_OF else ROLE_OF[m["name"].lower().replace(" ", "").replace("_", "")]
+    role = ROLE_OF[m["name"].lower().replace(" ", "").replace("_", "")]
     end, strong = m["end"].strip(), bool(m["strong"])
     if end == "" and not strong and m.end() < len(line):
         return -1, 0.0, 0
@@ -99,7 +101,7 @@ def line_scores(line: str, after_blank: bool) -> np.ndarray:
     if role >= 0:
         first *= (1 - sure) / len(ROLES)
         first[role] = sure
-        later *= (1 - sure) / 4
+        later *= (1 - sure) / 40
     else:
         first *= 0.06
         later *= 0.94
@@ -120,18 +122,17 @@ def line_scores(line: str, after_blank: bool) -> np.ndarray:
 
 
 def block_matrix(lines: list[str], s: Settings) -> np.ndarray:
-    """Best score from each state before the first line to each state of the last one."""
-    step, m, blank = step_scores(s), None, False
-    for line in lines:
-        here = step + line_scores(line, blank)[None]
-        m = here if m is None else (m[:, :, None] + here[None]).max(1)
-        blank = not line.strip()
+    """Best score from each state before the first line to each state of the last one: after a line with text, and after a blank one."""
+    step = step_scores(s)
+    m = np.stack([step + line_scores(lines[0], blank)[None] for blank in (False, True)])
+    for before, line in zip(lines, lines[1:]):
+        m = (m[:, :, :, None] + (step + line_scores(line, not before.strip())[None])[None, None]).max(2)
     return m
 
 
-def viterbi(lines: list[str], s: Settings, entry: int, last: int | None = None) -> list[int]:
-    """States of the lines, given the state before the first one and perhaps the last one's."""
-    step, back, blank, score = step_scores(s), [], False, None
+def viterbi(lines: list[str], s: Settings, entry: int, last: int | None = None, blank: bool = False) -> list[int]:
+    """States of the lines, given the state before the first one, whether it was blank, and perhaps the last one's state."""
+    step, back, score = step_scores(s), [], None
     for line in lines:
         if score is None:
             score = step[entry] + line_scores(line, blank)
@@ -178,57 +179,65 @@ def _by_block(rows: DataFrame, make, schema: T.StructType) -> DataFrame:
 
 
 def turns(rows: DataFrame, s: Settings = Settings(), key_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """(key, row, line, role, n_lines, text, rendered): one row per turn recovered, with the place of its first line."""
+    """(key, row, nth, line, role, n_lines, text, rendered): one row per turn recovered, with the place of its first line."""
     base = rows.select(F.col(key_col).alias("key"), F.expr(f"cast(floor(coalesce(`{order_col}`, 0) / {s.block}) as bigint)").alias("block"), F.coalesce(F.col(order_col).cast("long"), F.lit(0)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = ["key", "block", "row", "text"]
     dealt = lambda df: df.repartition("key", "block").sortWithinPartitions(*order)
     key = base.schema["key"]
-    split = lambda held: [(r[0], k, line) for r in held for k, line in enumerate(r[1].split("\n"))]
+    split = lambda held: [(r[0], i, k, line) for i, r in enumerate(held) for k, line in enumerate(r[1].split("\n"))]
+
+    matrix = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("blank", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
+
+    def reduce(at, held):
+        lines = [x[3] for x in split(held)]
+        return [(*at, int(not lines[-1].strip()), block_matrix(lines, s).ravel().tolist())]
 
-    matrix = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
-    sums = cut(_by_block(dealt(base), lambda at, held: [(*at, block_matrix([x[2] for x in split(held)], s).ravel().tolist())], matrix))
+    sums = cut(_by_block(dealt(base), reduce, matrix))
 
     # Fold: best scores up to each block's end, then the states at the borders from the last back.
-    borders = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("last", T.LongType())])
+    borders = T.StructType([key, *[T.StructField(c, T.LongType()) for c in ("block", "entry", "last", "after_blank")]])
 
     def fold(at, held):
-        score, best = np.full(N + 1, -np.inf), []
+        score, best, blank, after = np.full(N + 1, -np.inf), [], 0, []
         score[N] = 0
-        for _, m in held:
-            way = score[:, None] + np.array(m).reshape(N + 1, N + 1)
+        for _, ends_blank, m in held:
+            way = score[:, None] + np.array(m).reshape(2, N + 1, N + 1)[blank]
             best.append(way.argmax(0))
             score = way.max(0)
+            after.append(blank)
+            blank = ends_blank
         state, out = int(score.argmax()), []
-        for (block, _), b in zip(reversed(held), reversed(best)):
-            out.append((at[0], block, int(b[state]), state))
+        for (block, _, _), b, was_blank in zip(reversed(held), reversed(best), reversed(after)):
+            out.append((at[0], block, int(b[state]), state, was_blank))
             state = int(b[state])
         return out
 
-    folded = _by_block(sums.select("key", F.lit(0).cast("long").alias("z"), "block", "m").repartition("key").sortWithinPartitions("key", "block"), fold, borders)
+    folded = _by_block(sums.select("key", F.lit(0).cast("long").alias("z"), "block", "blank", "m").repartition("key").sortWithinPartitions("key", "block"), fold, borders)
     placed = base.join(cut(folded).withColumnRenamed("key", "k2").withColumnRenamed("block", "b2"), F.col("key").eqNullSafe(F.col("k2")) & (F.col("block") == F.col("b2"))).drop("k2", "b2")
 
-    parts = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("row", T.LongType()), T.StructField("line", T.LongType()), T.StructField("part", T.LongType()), T.StructField("role", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("text", T.StringType())])
+    parts = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("row", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("line", T.LongType()), T.StructField("part", T.LongType()), T.StructField("role", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("text", T.StringType())])
 
     def decode(at, held):
         lines = split(held)
-        entry, last = held[0][2], held[0][3]
-        states = viterbi([x[2] for x in lines], s, entry, last)
+        entry, last, blank = held[0][2:]
         out: list[list] = []
-        for (row, k, line), state in zip(lines, states):
+        # nth: which of the block's rows; rows of equal order, and repeated ones, are turns of their own
+        for (row, nth, k, line), state in zip(lines, viterbi([x[3] for x in lines], s, entry, last, bool(blank))):
             if state % 2 == 0 or not out:
                 # a part without a first line of its own goes on with the turn before it
-                out.append([*at, row if state % 2 == 0 or entry == N else None, k if state % 2 == 0 or entry == N else None, len(out), ROLES[state // 2], 0, []])
-            out[-1][6] += 1
-            out[-1][7].append(line[read_marker(line)[2] :] if state % 2 == 0 else line)
-        return [(*p[:7], "\n".join(p[7])) for p in out]
+                place = (row, nth, k) if state % 2 == 0 or entry == N else (None, None, None)
+                out.append([*at, *place, len(out), ROLES[state // 2], 0, []])
+            out[-1][7] += 1
+            out[-1][8].append(line[read_marker(line)[2] :] if state % 2 == 0 else line)
+        return [(*p[:8], "\n".join(p[8])) for p in out]
 
-    found = cut(_by_block(dealt(placed.select(*order, "entry", "last")), decode, parts))
+    found = cut(_by_block(dealt(placed.select(*order, "entry", "last", "after_blank")), decode, parts))
     # A turn's parts get the place of its first line; one summary row per block is enough to carry it over.
-    tail = found.groupBy("key", "block").agg(F.max(F.when(F.col("row").isNotNull(), F.struct("part", "row", "line"))).alias("t"))
+    tail = found.groupBy("key", "block").agg(F.max(F.when(F.col("row").isNotNull(), F.struct("part", "row", "nth", "line"))).alias("t"))
     before = tail.select(F.col("key").alias("k2"), F.col("block").alias("b2"), F.last(F.col("t"), True).over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     whole = found.join(before, F.col("key").eqNullSafe(F.col("k2")) & (F.col("block") == F.col("b2")), "left")
-    whole = whole.select("key", F.coalesce("row", "before.row").alias("row"), F.coalesce("line", "before.line").alias("line"), "block", "part", "role", "n_lines", "text")
-    made = whole.groupBy("key", "row", "line").agg(F.min_by("role", F.struct("block", "part")).alias("role"), F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("t"))
+    whole = whole.select("key", *[F.coalesce(c, f"before.{c}").alias(c) for c in ("row", "nth", "line")], "block", "part", "role", "n_lines", "text")
+    made = whole.groupBy("key", "row", "nth", "line").agg(F.min_by("role", F.struct("block", "part")).alias("role"), F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("t"))
     text = F.regexp_replace(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
-    made = made.select("key", "row", "line", "role", "n_lines", text.alias("text"))
+    made = made.select("key", "row", "nth", "line", "role", "n_lines", text.alias("text"))
     return made.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))

@@ -30,10 +30,42 @@ def test_viterbi_is_the_best_path_and_blocks_agree():
         got = C.viterbi(lines, S, C.N)
         best = max(path_score(lines, p) for p in itertools.product(range(C.N), repeat=4))
         assert abs(path_score(lines, got) - best) < 1e-9
-        # fold of two blocks (the feature of a blank line before starts afresh at a block)
-        m = C.block_matrix(lines[:2], S)[C.N][:, None] + C.block_matrix(lines[2:], S)
-        a = max((path_score(lines[:2], p) + path_score(lines[2:], q, p[-1]) for p in itertools.product(range(C.N), repeat=2) for q in itertools.product(range(C.N), repeat=2)))
-        assert abs(m.max() - a) < 1e-9
+        # fold of two blocks, the second after what ends the first
+        m = C.block_matrix(lines[:2], S)[0, C.N][:, None] + C.block_matrix(lines[2:], S)[int(not lines[1].strip())]
+        assert abs(m.max() - best) < 1e-9
+
+
+@pytest.mark.parametrize("line,role", [("toolresult: x", 3), ("functionresult: y", 3), ("speakera: q", 1), ("u\u017fer: hi", -1), ("Tool_Result: z", 3), ("SPEAKER B: z", 2), ("tool  result: x", -1)])
+def test_markers_written_otherwise(line, role):
+    assert C.read_marker(line)[0] == role
+
+
+def whole(rows):
+    """Turns of one conversation by one Viterbi over all its lines: (role, text)."""
+    lines = [line for _, text in sorted(rows) for line in text.split("\n")]
+    out = []
+    for line, state in zip(lines, C.viterbi(lines, S, C.N)):
+        if state % 2 == 0 or not out:
+            out.append((C.ROLES[state // 2], []))
+        out[-1][1].append(line[C.read_marker(line)[2] :] if state % 2 == 0 else line)
+    return [(role, "\n".join(x).strip()) for role, x in out]
+
+
+@pytest.mark.parametrize("block", range(1, 8))
+def test_blank_and_unmarked_lines_at_borders(spark, block):
+    rng = random.Random(block)
+    pool = ["User: a", "Bot: b", "", " ", "why?", "plain", "- item", '{"a": 1}', "AI", "tool: 3", "user", "Q: what?"]
+    rows = [(c, k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 3)))) for c in range(4) for k in range(23)]
+    got = C.turns(spark.createDataFrame(rows, "conv_id long, turn long, text string"), C.Settings(block=block)).collect()
+    for c in range(4):
+        mine = [(r.role, r.text) for r in sorted((r for r in got if r.key == c), key=lambda r: (r.row, r.nth, r.line))]
+        assert mine == whole([(k, t) for i, k, t in rows if i == c])
+
+
+def test_rows_of_one_turn_stay_apart(spark):
+    rows = [(1, 0, "User: hi"), (1, 0, "Assistant: yo"), (1, 0, "User: hi")]
+    got = sorted((r.nth, r.role, r.text) for r in C.turns(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect())
+    assert got == [(0, "assistant", "yo"), (1, "user", "hi"), (2, "user", "hi")]
 
 
 def rendered(rows):
