@@ -112,3 +112,22 @@ def test_clusters(spark, detected, recall):
     gold = spark.createDataFrame(list(zip("abcdef", ["P1"] * 3 + ["P2"] * 2 + ["P3"])), "item string, label string")
     pred = spark.createDataFrame([("a", "x"), ("b", "x"), ("d", "y"), ("e", "y"), ("f", "z")], "item string, label string")
     assert V.cluster_agreement(gold, pred, detected).first().recall == pytest.approx(recall)
+
+
+def test_every_row_of_the_table_names_known_things():
+    states = set(automata.TABLE)
+    run = automata.Automaton(automata.ChainParams())
+    for rows in automata.TABLE.values():
+        for _, actions, to, _ in rows:
+            assert to in states
+            for a in actions:
+                assert a.rstrip("+").split("=")[0] in run.registers or hasattr(run, "act_" + a.split(":")[0])
+
+
+def test_reader_statistics(spark):
+    t = stream(*[x for i in range(4) for x in (("عن", "nrc"), (f"n{i}", "n"), *[("عن", "nrc")] * 3)])
+    df = spark.createDataFrame([{"book_id": b, **{**vars(x), "pos": "noun"}} for b in "ab" for x in t])
+    params = automata.ChainParams(name_slack=1, link_slack=6, least=1)
+    got = {r.book_id: r for r in automata.reader_statistics(df, params=params, confirm=lambda n: [1] if n.text != "n0" else []).collect()}
+    alone = automata.Automaton(params, lambda n: [1] if n.text != "n0" else [], prose=True).run(t)
+    assert tuple(got["a"])[1:] == tuple(got["b"])[1:] == (20, 4, 3, 3, alone.broken)
