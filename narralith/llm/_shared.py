@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share: a local one only in a session of one machine that names none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return where or "/tmp/narralith-checkpoints"
 
 
@@ -70,3 +74,15 @@ def text_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
+
+
+def block_pairs(groups: DataFrame, key: list[str], block: int, block_bytes: int) -> DataFrame:
+    """Rows (key, node, bytes, ...) with the block pairs (i, j) that they belong to, and their own block, ``mine``.
+
+    A group of up to ``block`` rows and ``block_bytes`` is one block, 0, and each row comes once.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
+    big = groups.groupBy(*key).agg(parts.alias("blocks")).where("blocks > 1")
+    dealt = groups.join(big, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    return dealt.withColumn("at", F.explode(pairs)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).drop("at", "blocks", "bytes")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralith.llm._shared import cut, drop_cut, released
+from narralith.llm._shared import block_pairs, cut, drop_cut, released
 from narralith.llm.components import components
 
 MEMO_WORDS = 150_000
@@ -251,15 +251,6 @@ def linked_forest(grams: list[np.ndarray], side: np.ndarray | None, s: Settings)
     return found.edges
 
 
-def _blocks(groups: DataFrame, key: list[str], s: Settings) -> DataFrame:
-    """Rows (key, node, bytes, ...) with the block pairs (i, j) that they belong to, and their own block, ``mine``."""
-    parts = F.greatest(F.ceil(F.count("*") / s.block), F.ceil(F.sum("bytes") / s.block_bytes)).cast("int")
-    big = groups.groupBy(*key).agg(parts.alias("blocks")).where("blocks > 1")
-    dealt = groups.join(big, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    return dealt.withColumn("at", F.explode(pairs)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).drop("at", "blocks", "bytes")
-
-
 def _in_blocks(rows: DataFrame, key: list[str], make) -> DataFrame:
     """(a, b): the forest edges that ``make(members, side)`` finds in each (key, i, j); members are the rows' other columns.
 
@@ -333,7 +324,7 @@ def plausible_pairs(classes: DataFrame, s: Settings) -> DataFrame:
     def make(held, side):
         return plausible_forest(np.array([r["n"] for r in held]), [r["counts"] for r in held], np.array([r["home"] for r in held]), side, s)
 
-    out = cut(near.unionByName(_in_blocks(_blocks(cells, ["hub", "cell"], s), ["hub", "cell"], make)).where("a <> b").distinct())
+    out = cut(near.unionByName(_in_blocks(block_pairs(cells, ["hub", "cell"], s.block, s.block_bytes), ["hub", "cell"], make)).where("a <> b").distinct())
     drop_cut(shared)
     drop_cut(cells)
     return out
@@ -346,7 +337,7 @@ def verified_links(edges: DataFrame, classes: DataFrame, docs: DataFrame, s: Set
     # Rows that share an id have several sets.
     sized = cut(members.join(classes.groupBy("node").agg(F.sum(8 * F.col("n")).alias("bytes")), "node"))
     few = sized.count() <= s.broadcast_ids
-    placed = cut(_blocks(sized, ["family"], s).groupBy("family", "node", "mine").agg(F.collect_list(F.struct("i", "j")).alias("at")))
+    placed = cut(block_pairs(sized, ["family"], s.block, s.block_bytes).groupBy("family", "node", "mine").agg(F.collect_list(F.struct("i", "j")).alias("at")))
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     wanted = texts.join(F.broadcast(placed) if few else placed, "node").select("node", "family", "mine", "at", "text")
     schema = T.StructType([*wanted.schema.fields[:4], T.StructField("grams", T.ArrayType(T.LongType()))])
