@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +32,14 @@ from pyspark.sql import types as T
 
 from narralith.llm._shared import cut, released
 
+#: No alternative reads on past the next tag's start without a quote or an end to find, and none gives back what it
+#: has read, so a page is scanned in time linear in its length however broken it is.
+_ATTRS = r"""(?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+"""
 TAG = re.compile(
-    r"<!--(?:.*?-->|.*)"
-    r"|<(script|style|template|noscript|textarea|iframe|svg|math|title|xmp)\b[^>]*>(?:.*?</\1\s*>|.*)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?/][^>]*>",
+    r"<!--(?:.*?-->|.*+)"
+    rf"|<(script|style|template|noscript|textarea|iframe|svg|math|title|xmp)\b{_ATTRS}>(?:.*?</\1\s*+>|.*+)"
+    rf"""|<(/?)([a-zA-Z][^\s/<>"']*+)({_ATTRS})>"""
+    r"|<[!?/][^<>]*+>",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -73,10 +77,16 @@ class Node:
         self.text = self.links = self.whole = 0
 
 
+#: Longer paths go on from their digest: equal paths stay equal, and a page of any depth stays small.
+LONG_PATH = 600
+
+
 def general_path(parent: str, tag: str, attrs: str) -> str:
     m = CLASS.search(attrs) if attrs else None
     names = (m[1] or m[2] or m[3] or "").split() if m else []
-    return f"{parent}/{tag}" + "".join(f".{DIGITS.sub('#', n.lower())}" for n in sorted(names)[:4])
+    if len(parent) > LONG_PATH:
+        parent = blake2b(parent.encode("utf-8", "replace"), digest_size=16).hexdigest()
+    return f"{parent}/{tag}" + "".join(f".{DIGITS.sub('#', n.lower())}" for n in sorted(names))
 
 
 def walk(page: str):

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from narralith.llm import html_main as H
@@ -54,3 +56,20 @@ def test_two_templates_of_a_host(spark):
     rows = [(i, "http://t.example/", first.format(f"first template {i} " * 10)) for i in range(6)] + [(i, "http://t.example/", other.format(f"other template {i} " * 10)) for i in range(6, 8)]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: " ".join([f"{'first' if i < 6 else 'other'} template {i}"] * 10) for i in range(8)}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a", "<script ", "</ ", "<!x ", "<div class='", '<p x="', "<!-- ", "<aaaa", "<a x=1 'b\" "])
+def test_broken_pages_in_linear_time(piece):
+    page = "<body><p>words here</p>" + piece * (1_000_000 // len(piece))
+    at = time.time()
+    for _ in H.walk(page):
+        pass
+    assert time.time() - at < 2
+
+
+def test_very_deep_page():
+    page = "<body>" + '<div class="level-one more">' * 5000 + "<p>deep text</p>"
+    at = time.time()
+    assert H.main_text(page, None) == "deep text"
+    assert time.time() - at < 20
+    assert len({H.general_path("/a" * 400, "p", ""), H.general_path("/a" * 399 + "/b", "p", "")}) == 2
