@@ -8,7 +8,8 @@ keeps its least one, so that no text with words has an empty fingerprint.
 
 Cases: null and empty texts, and texts without words, have the empty fingerprint, which is like
 another empty one (1) and unlike any other (0); a text with fewer words than a shingle has one
-shingle, the whole sequence; words are compared in lower case; equal texts have equal fingerprints.
+shingle, the whole sequence; words are compared in lower case; equal texts have equal fingerprints; very
+long texts are read whole and have fingerprints in proportion; other columns do not matter.
 
 For successors (:func:`with_next`): rows are ordered by id, then text, null ids first; the row after
 the last is the first, so a lone row follows itself; an empty table gives an empty table.
@@ -44,12 +45,15 @@ def hashes_of(words: Column, s: Settings) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - s.words, F.when(F.size(words) > 0, 0).otherwise(-1)), F.lit(1)), one)
 
 
+def _top(s: Settings) -> int:
+    return -(2**63) + 2**64 // s.share
+
+
 def with_fingerprint(df: DataFrame, text: Column, name: str, s: Settings = Settings()) -> DataFrame:
     """Add the fingerprint of ``text`` as an array of longs."""
-    top = -(2**63) + 2**64 // s.share
     df = df.withColumn("__w", words_of(text))
     df = df.withColumn("__h", F.when(F.size("__w") > 0, hashes_of(F.col("__w"), s)))
-    df = df.withColumn("__low", F.sort_array(F.array_distinct(F.filter("__h", lambda x: x < F.lit(top)))))
+    df = df.withColumn("__low", F.sort_array(F.array_distinct(F.filter("__h", lambda x: x < F.lit(_top(s))))))
     kept = F.when(F.col("__h").isNull(), F.array().cast("array<bigint>")).when(F.size("__low") > 0, F.col("__low")).otherwise(F.array(F.array_min("__h")))
     return df.withColumn(name, kept).drop("__w", "__h", "__low")
 
@@ -70,9 +74,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Fingerprint of the two texts' shingles together."""
-    return F.sort_array(F.array_union(a, b))
+def merged(a: Column, b: Column, s: Settings = Settings()) -> Column:
+    """Fingerprint of the two texts' shingles together: a least hash that stood in for low ones goes where there are such."""
+    both = F.array_union(a, b)
+    low = F.filter(both, lambda x: x < F.lit(_top(s)))
+    return F.when(F.size(low) > 0, F.sort_array(low)).when(F.size(both) > 0, F.array(F.array_min(both))).otherwise(both)
 
 
 def _bucketed(df: DataFrame, id_col: str, s: Settings) -> DataFrame:
@@ -102,9 +108,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, s: Settings = Setting
     df = _bucketed(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), "id", s)
     order = W.partitionBy("__bucket").orderBy(F.col("id").asc_nulls_first(), "text")
     firsts = df.groupBy("__bucket").agg(F.min_by("text", F.struct(F.col("id").isNotNull().alias("k"), "id", "text")).alias("text"))
-    ring = W.orderBy("__bucket")  # one row per range: bounded
     firsts = with_fingerprint(firsts, F.col("text"), "fp", s)
-    firsts = firsts.select("__bucket", F.coalesce(F.lead("text").over(ring), F.first("text").over(ring)).alias("first_text"), F.coalesce(F.lead("fp").over(ring), F.first("fp").over(ring)).alias("first_fp"))
+    ring = W.orderBy("__bucket")  # numbers of ranges alone: bounded
+    after = df.select("__bucket").distinct().select("__bucket", F.coalesce(F.lead("__bucket").over(ring), F.first("__bucket").over(ring)).alias("__next"))
+    firsts = after.join(firsts.select(F.col("__bucket").alias("__next"), F.col("text").alias("first_text"), F.col("fp").alias("first_fp")), "__next").drop("__next")
     df = with_fingerprint(df, F.col("text"), "fp", s)
     df = df.select("*", F.lead("text").over(order).alias("t"), F.lead("fp").over(order).alias("f")).join(firsts, "__bucket", "left")
     return df.select("id", "text", "fp", F.coalesce("t", "first_text").alias("next_text"), F.coalesce("f", "first_fp").alias("next_fp"))
