@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from narralith.llm._shared import released
 
-#: Words a Python worker remembers; it starts afresh beyond that, which bounds its memory.
-MEMO_WORDS = 300_000
+#: Words and pairs of tokens that a Python worker remembers at most, some 300 MB.
+MEMO_WORDS = 800_000
+MEMO_PAIRS = 1_000_000
 
 #: White space as the tokenizer's own regular expressions see it (control characters 1C to 1F are not).
 SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
@@ -59,6 +60,7 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
+        self.special_starts = {s[0] for s in self.special}
         self.bytes_to = byte_alphabet()
 
         vocab = model["vocab"]
@@ -81,7 +83,9 @@ class WordBpe:
             if i in self.parts or len(token.removesuffix(self.suffix)) == 1:
                 self.machine.add_word(self._key(token), (len(self._key(token)), i))
         self.machine.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        #: the pair-compatibility table, as far as pairs were met, and the ids of words
+        self.compatible = Recent(lambda pair: self._border_stays(*pair), MEMO_PAIRS)
+        self.known = Recent(self.encode_word, MEMO_WORDS)
 
         text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         pieces = [text.get(i, "").encode() for i in range(self.size)]
@@ -96,10 +100,7 @@ class WordBpe:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves the border between the two tokens open."""
-        known = self.compatible.get((left, right))
-        if known is None:
-            known = self.compatible[left, right] = self._border_stays(left, right)
-        return known
+        return self.compatible[left, right]
 
     def _border_stays(self, left: int, right: int) -> bool:
         # Undo the latest merge on either side until both are single symbols. A join across the
@@ -122,11 +123,13 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Token ids of one pre-tokenized word."""
-        symbols = [self.bytes_to[b] for b in word.encode("utf-8")]
-        symbols[-1] = self.marked[symbols[-1]] if self.suffix else symbols[-1]
+        # printable ASCII stands for itself
+        symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.bytes_to[b] for b in word.encode("utf-8")])
+        if self.suffix:
+            symbols = symbols[:-1] + self.marked[symbols[-1]]
         n = len(symbols)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.machine.iter("".join(symbols)):
+        for end, (length, token) in self.machine.iter(symbols):
             at[end - length + 1].append((length, token))  # shorter tokens end, and so come, first
         out: list[tuple[int, int]] = []
         left = [len(x) for x in at]  # candidates not tried yet at each position
@@ -154,14 +157,14 @@ class WordBpe:
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a piece of text without white space."""
         out: list[int] = []
-        for piece in self.specials.split(chunk) if self.specials else [chunk]:
+        for piece in self.specials.split(chunk) if not self.special_starts.isdisjoint(chunk) else [chunk]:
             if piece in self.special:
                 out.append(self.special[piece])
             elif piece:
                 # lower case is taken character by character, so a final sigma is an ordinary one
-                low = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+                low = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
                 for word in self.words.findall(low):
-                    out += self.encode_word(word)
+                    out += self.known[word]
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -184,21 +187,34 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-class Memo(dict):
-    """Chunk to (ids as text, decoded text)."""
+class Recent(dict):
+    """What ``make`` gives for a key, of at most ``most`` keys; when full, the older half goes that was not asked for since."""
 
-    def __init__(self, bpe: WordBpe):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        ids = self.bpe.encode_chunk(chunk)
-        if len(self) >= MEMO_WORDS:
+        self.make, self.half, self.old = make, max(1, most // 2), {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        found = self[chunk] = (" ".join(map(str, ids)), self.bpe.decode(ids))
+        self[key] = found
         return found
 
 
+def Memo(bpe: WordBpe) -> Recent:
+    """Chunk to (ids as text, decoded text)."""
+
+    def make(chunk: str) -> tuple[str, str]:
+        ids = bpe.encode_chunk(chunk)
+        return " ".join(map(str, ids)), bpe.decode(ids)
+
+    return Recent(make, MEMO_WORDS)
+
+
 @lru_cache(maxsize=4)
 def memo(path: str) -> Memo:
     return Memo(load(path))
