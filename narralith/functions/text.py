@@ -39,9 +39,8 @@ def index_map(text: Column) -> Column:
     """Place in the text of each character of its normal form."""
     gone = DIACRITICS + TATWEEL + ZERO_WIDTH_JOINER
     blank = F.lit("^[" + SPACES + "".join("\\" + c for c in SYMBOLS) + "]$")
-    places = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
-    chars = F.transform(places, lambda i: F.struct(i.alias("i"), F.substring(text, i + 1, F.lit(1)).alias("c")))
-    kept = F.filter(chars, lambda x: (x["c"] != "") & ~F.lit(gone).contains(x["c"]))
+    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    kept = F.filter(chars, lambda x: ~F.lit(gone).contains(x["c"]))
     marked = F.transform(kept, lambda x: F.struct(x["i"].alias("i"), F.regexp_like(x["c"], blank).alias("s")))
     first = F.filter(marked, lambda x, k: ~x["s"] | (k == 0) | ~F.coalesce(F.get(marked, k - 1)["s"], F.lit(False)))
     return F.transform(first, lambda x: x["i"])
@@ -115,23 +114,23 @@ def phrase_hits(df: DataFrame, text_col: str, phrases: DataFrame, keys: list[str
     ``phrases`` (phrase, kind, ...) is a lexicon of fixed size and is broadcast; only texts that contain
     a phrase are searched for its places.
     """
-    text = F.col(text_col)
+    text, phrase = F.col(text_col), F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E(?![\\p{L}\\p{N}])"))
+    # The text is split once before each place; of a text's pieces running sums give the places.
+    pieces = F.split(text, F.concat(F.lit("(?<![\\p{L}\\p{N}])(?="), phrase, F.lit(")")), -1)
     joined = df.join(F.broadcast(phrases), text.contains(F.col("phrase")))
-    size = F.length("phrase")
-    at = F.filter(F.sequence(F.lit(0), F.length(text) - size), lambda i: F.substring(text, i + 1, size) == F.col("phrase"))
-    hit = joined.select(*keys, text_col, *phrases.columns, F.explode(at).alias("start"))
-    hit = hit.withColumn("end", F.col("start") + size)
-    edge = lambda c: (c == "") | ~c.rlike(r"^[\p{L}\p{N}]$")
-    left = F.when(F.col("start") == 0, F.lit("")).otherwise(F.substring(text, F.col("start"), F.lit(1)))
-    return hit.where(edge(left) & edge(F.substring(text, F.col("end") + 1, F.lit(1)))).drop(text_col)
+    parts = joined.select(*keys, *phrases.columns, F.regexp_like(text, F.concat(F.lit("^"), phrase)).alias("__first"), F.posexplode(pieces).alias("__part", "__piece"))
+    before = F.sum(F.length("__piece")).over(W.partitionBy(*keys, *phrases.columns).orderBy("__part")) - F.length("__piece")
+    hit = parts.withColumn("start", before.cast("int")).where("__part > 0 or __first")
+    return hit.withColumn("end", F.col("start") + F.length("phrase")).drop("__first", "__part", "__piece")
 
 
 def regex_spans(df: DataFrame, text_col: str, pattern: str, keys: list[str]) -> DataFrame:
     """(keys, pos, match): matches of a pattern with their places, from the pieces between them."""
     text = F.col(text_col)
     df = df.where(text.rlike(pattern)).select(*keys, F.regexp_extract_all(text, F.lit(f"(?s)({pattern})"), F.lit(0)).alias("__m"), F.split(text, pattern, -1).alias("__between"))
-    gaps = F.transform("__m", lambda m, i: F.struct(m.alias("match"), (F.aggregate(F.slice("__between", F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("__m", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))).alias("pos")))
-    return df.select(*keys, F.explode(gaps).alias("g")).select(*keys, "g.pos", "g.match")
+    df = df.select(*keys, F.posexplode(F.arrays_zip(F.col("__m").alias("match"), F.col("__between").alias("gap"))).alias("__part", "g")).where("g.match is not null")
+    before = F.sum(F.length("g.gap") + F.length("g.match")).over(W.partitionBy(*keys).orderBy("__part")) - F.length("g.match")
+    return df.select(*keys, before.cast("int").alias("pos"), "g.match")
 
 
 def words_between(starts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,5 +138,12 @@ def words_between(starts: DataFrame, spans: DataFrame, keys: list[str]) -> DataF
 
     ``starts`` is (keys, pos), the places where a word begins.
     """
-    inside = spans.join(starts, keys, "left").groupBy(*spans.columns).agg(F.count_if((F.col("pos") > F.col("s")) & (F.col("pos") < F.col("e"))).alias("__c"))
-    return inside.select(*spans.columns, F.when(F.col("s") < F.col("e"), 1 + F.col("__c")).otherwise(0).alias("n_words"))
+    from narralith.operators.joins import asof
+
+    order = W.partitionBy(*keys).orderBy("pos")
+    placed = starts.select(*keys, "pos").distinct().withColumn("nth", F.row_number().over(order))
+    rows = spans.distinct()
+    for side, strict in (("s", False), ("e", True)):
+        rows = asof(rows, placed.withColumnRenamed("pos", side), keys, side, ["nth"], strict=strict, prefix=f"__{side}_").drop(f"__{side}_{side}")
+    inside = F.coalesce("__e_nth", F.lit(0)) - F.coalesce("__s_nth", F.lit(0))
+    return rows.select(*spans.columns, F.when(F.col("s") < F.col("e"), 1 + inside).otherwise(0).cast("bigint").alias("n_words"))

@@ -128,3 +128,25 @@ def hits(annotations: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     known = gold.select("person_id").distinct().withColumn("gold", F.lit(1)).join(annotations.select("person_id").distinct().withColumn("found", F.lit(1)), "person_id", "full").join(hit, "person_id", "left")
     n = known.agg(F.count("gold").alias("gold"), F.count("found").alias("annotated"), F.count("hit").alias("hits"))
     return n.select("*", F.try_divide(F.col("hits"), F.col("gold")).alias("recall"), F.try_divide(F.col("hits"), F.col("annotated")).alias("precision"))
+
+
+def detector_statistics(mentions: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: mentions, matched and ambiguous ones, and entries with their persons and scores."""
+    size = F.coalesce(F.size("matches"), F.lit(0))
+    read = mentions.agg(F.count("*").alias("mentions"), F.count_if(size > 0).alias("matched"), F.count_if(size > 1).alias("ambiguous"))
+    made = found.agg(F.count("*").alias("entries"), F.countDistinct("person_id").alias("persons"), F.max("score").alias("best_score"), F.avg("score").alias("mean_score"))
+    return read.crossJoin(F.broadcast(made))  # one row each
+
+
+def annotation_statistics(annotations: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: persons asked for (person_id), annotated ones, their annotations and the mean for each."""
+    n = annotations.groupBy("person_id").agg(F.count("*").alias("n"))
+    rows = asked.select("person_id").distinct().join(n, "person_id", "left")
+    return rows.agg(F.count("*").alias("persons"), F.count("n").alias("annotated"), F.coalesce(F.sum("n"), F.lit(0)).alias("annotations"), F.avg("n").alias("mean"))
+
+
+def as_items(found: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(book_id, s, e, names): entries with the spans of the mentions they are made of, as two-level items."""
+    spans = mentions.select("book_id", F.col("idx").alias("i"), F.col("start").alias("ms"), F.col("end").alias("me"))
+    rows = found.select("book_id", "person_id", "center", F.col("start").alias("s"), F.col("end").alias("e"), F.explode("idxs").alias("i")).join(spans, ["book_id", "i"])
+    return rows.groupBy("book_id", "person_id", "center", "s", "e").agg(F.array_sort(F.collect_list(F.struct(F.col("ms").alias("s"), F.col("me").alias("e")))).alias("names")).select("book_id", "s", "e", "names")

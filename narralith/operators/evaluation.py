@@ -43,6 +43,16 @@ def pair_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return n.withColumn("f_score", F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0)))
 
 
+def pair_errors(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, equal, predicted) that were judged wrongly, ``kind`` false or missed."""
+    return pairs.where("equal <> predicted").select("a", "b", F.when(F.col("equal"), "missed").otherwise("false").alias("kind"))
+
+
+def occurrence_labels(occurrences: DataFrame, chain: str, position: str, person: str) -> DataFrame:
+    """(item, label): each occurrence as ``chain#position`` with the person it was given to."""
+    return occurrences.select(F.concat_ws("#", F.col(chain).cast("string"), F.col(position).cast("string")).alias("item"), F.col(person).alias("label"))
+
+
 def sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """:func:`pair_scores` of (equal, score) at each threshold."""
     rows = scored.select("equal", "score", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))

@@ -14,7 +14,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder; iterations stay small plans."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/narralith-checkpoints")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not where:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or "/tmp/narralith-checkpoints")
     return df.checkpoint()
 
 
@@ -80,6 +83,8 @@ def ranks(edge: DataFrame, most: int = 10_000) -> DataFrame:
         if wave.isEmpty():
             break
         done = cut(done.unionByName(wave))
+    else:
+        raise RuntimeError(f"ranks are deeper than {most}")
     return done
 
 
@@ -140,9 +145,56 @@ def cyclic_core(edge: DataFrame, most: int = 10_000) -> DataFrame:
         if now == size:
             break
         size = now
+    else:
+        raise RuntimeError(f"more than {most} rounds of ends to take off")
     return core
 
 
+def back_edges(edge: DataFrame) -> DataFrame:
+    """(child, parent): edges that a depth-first search from child to parent, in order of ids, finds leading back into its own path.
+
+    They lie in the cyclic core, which alone is searched, in one task; what lies outside of it stays in Spark.
+    """
+    core = cyclic_core(edge)
+
+    def search(batches):
+        above: dict = {}
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for child, parent in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                above.setdefault(child, []).append(parent)
+        found, done, open_ = [], set(), set()
+        for root in sorted(above):
+            if root in done:
+                continue
+            path = [(root, iter(sorted(above[root])))]
+            open_.add(root)
+            while path:
+                node, rest = path[-1]
+                up = next(rest, None)
+                if up is None:
+                    path.pop()
+                    open_.discard(node)
+                    done.add(node)
+                elif up in open_:
+                    found.append((node, up))
+                elif up not in done:
+                    open_.add(up)
+                    path.append((up, iter(sorted(above.get(up, ())))))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], names=["child", "parent"])
+
+    return core.repartition(1).mapInArrow(search, core.schema)
+
+
+def statistics(edge: DataFrame, rank: DataFrame, top: int = 5) -> DataFrame:
+    """One row: nodes with a rank, the greatest rank, and the nodes with most children (ties by id)."""
+    best = edge.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children")).orderBy(F.desc("children"), "node").limit(top)
+    best = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("children")).alias("less"), "node"))).alias("t")).select(F.transform("t", lambda x: F.struct(x["node"].alias("node"), (-x["less"]).alias("children"))).alias("top"))
+    return rank.agg(F.count("rank").alias("ranked"), F.max("rank").alias("max_rank")).crossJoin(F.broadcast(best))  # one row each
+
+
 def ego_tree(edge: DataFrame, roots: DataFrame, widths: tuple[int, ...] = (10, 3)) -> DataFrame:
     """(root, depth, parent, node): the first neighbours by id, hop by hop, as many as each width says."""
     front = roots.select(F.col("root"), F.col("root").alias("node"))

@@ -78,3 +78,19 @@ def select_topic(hadiths: DataFrame, order: list[str], numbers: list[int] | None
         wanted = hadiths.sparkSession.createDataFrame([(n,) for n in set(numbers)], "number bigint")
         return hadiths.join(F.broadcast(wanted), "number", "left_semi")
     return (hadiths.where(F.col("matn").contains(contains)) if contains else hadiths).orderBy(*order).limit(limit)
+
+
+def statistics(records: DataFrame, found: int | None = None) -> DataFrame:
+    """One row of counters over records: how many, numbered, with a Prophet's name, under each header, narrators, longest chain, empty matn."""
+    n = F.col("narrator_count")
+    return records.agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("number") != -1).alias("numbered"),
+        F.count_if(F.exists("narrators", lambda x: x["is_rasoul"])).alias("with_rasoul"),
+        F.count_if(F.col("kitab") != "").alias("with_kitab"),
+        F.count_if(F.col("bab") != "").alias("with_bab"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("narrators"),
+        F.max(n).alias("longest"),
+        F.count_if(F.col("matn") == "").alias("without_matn"),
+        *([F.lit(found).alias("chains_found")] if found is not None else []),
+    )

@@ -63,6 +63,11 @@ def pair_pr(spark, d):
     return s.select("tp", "fp", "fn", "tn", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
+@register(f"WITH {PAIR} SELECT a, b, CASE WHEN equal THEN 'missed' ELSE 'false' END AS kind FROM p WHERE equal <> (score > 0.75)")
+def pair_errors(spark, d):
+    return V.pair_errors(_pairs(spark, d).withColumn("predicted", F.col("score") > 0.75))
+
+
 STEPS = [k / 10 for k in range(1, 10)]
 
 

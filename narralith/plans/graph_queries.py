@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narralith.operators import graph
+from narralith.operators import evaluation, graph
 from narralith.plans.registry import register, table
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -223,3 +223,21 @@ def component_sizes(spark, d):
     root = labels(edge, nation.select(F.col("n_nationkey").alias("node")))
     named = root.join(nation.select(F.col("n_nationkey").alias("root"), "n_regionkey"), "root")
     return named.groupBy(F.col("n_regionkey").alias("component")).agg(F.count("*").alias("n"))
+
+
+@register("""SELECT concat(l_orderkey, '#', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1) AS item, l_suppkey AS label FROM lineitem""")
+def occurrence_labels(spark, d):
+    rows = graph.positions(table(spark, d, "lineitem").select("l_orderkey", *ORDER), "l_orderkey", ORDER)
+    return evaluation.occurrence_labels(rows, "l_orderkey", "position", "l_suppkey")
+
+
+@register(f"WITH {STEP} SELECT (SELECT count(DISTINCT n) FROM (SELECT child AS n FROM edge UNION ALL SELECT parent FROM edge)) AS ranked, parent AS node, count(*) AS children FROM edge GROUP BY parent ORDER BY children DESC, node LIMIT 5")
+def graph_stats_top(spark, d):
+    edge = graph.cut(line_edges(spark, d))
+    nodes = edge.select(F.col("child").alias("node")).union(edge.select("parent")).distinct().withColumn("rank", F.lit(0))
+    return graph.statistics(edge, nodes).select("ranked", F.explode("top").alias("t")).select("ranked", "t.node", "t.children")
+
+
+@register()
+def back_edges_whole(spark, d):
+    return graph.back_edges(graph.cut(line_edges(spark, d)))

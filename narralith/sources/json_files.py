@@ -55,7 +55,11 @@ def chain_lines(records: DataFrame) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """One row per person."""
+    """One row per person, of a graph's one document or of the lines that :func:`write_graph` writes."""
+    jvm = spark._jvm
+    lines = jvm.org.apache.hadoop.fs.Path(f"{path}/persons")
+    if lines.getFileSystem(spark._jsc.hadoopConfiguration()).exists(lines):
+        return spark.read.schema(f"p {PERSON}").json(f"{path}/persons").select("p.*")
     return spark.read.schema(GRAPH).option("multiLine", True).json(path).select(F.explode("persons").alias("p")).select("p.*")
 
 
@@ -72,7 +76,7 @@ def person_forms(persons: DataFrame) -> DataFrame:
 
 def write_graph(persons: DataFrame, path: str, **params) -> None:
     """JSON lines of persons beside a line of parameters; a single document per graph is for small graphs only."""
-    persons.write.mode("overwrite").json(f"{path}/persons")
+    persons.select(F.struct("*").alias("p")).write.mode("overwrite").json(f"{path}/persons")
     persons.sparkSession.createDataFrame([(str(k), str(v)) for k, v in params.items()] or [("", "")], "name string, value string").write.mode("overwrite").json(f"{path}/params")
 
 
@@ -92,15 +96,21 @@ def checked(gold: DataFrame, text: str | None = None) -> DataFrame:
     """The gold itself, or an error when it was not reviewed, is for another text, or has no content."""
     import hashlib
 
-    row = gold.first()
-    if row is None or not row.reviewed:
+    one = F.lit(1)
+    tests = [F.count(one).alias("rows"), F.count_if(~F.coalesce("reviewed", F.lit(False))).alias("unreviewed")]
+    if text is not None:
+        tests.append(F.count_if(~F.coalesce(F.col("text_sha256") == hashlib.sha256(text.encode()).hexdigest(), F.lit(False))).alias("foreign"))
+    if "pairs" in gold.columns:
+        tests.append(F.count_if(F.coalesce(F.exists("pairs", lambda p: p["equal"].isNotNull()), F.lit(False))).alias("labelled"))
+    if "labels" in gold.columns:
+        tests.append(F.count_if(F.coalesce(F.size("labels"), F.lit(0)) > 0).alias("labelled"))
+    found = gold.agg(*tests).first().asDict()
+    if not found["rows"] or found["unreviewed"]:
         raise GoldError("the annotations have not been reviewed")
-    if text is not None and row.text_sha256 != hashlib.sha256(text.encode()).hexdigest():
+    if found.get("foreign"):
         raise GoldError("the annotations belong to another text")
-    if "pairs" in gold.columns and not any(p.equal is not None for p in row.pairs or []):
-        raise GoldError("no pair has a label")
-    if "labels" in gold.columns and not row.labels:
-        raise GoldError("no occurrence has a label")
+    if found.get("labelled") == 0:
+        raise GoldError("no pair or occurrence has a label")
     return gold
 
 
@@ -111,5 +121,28 @@ def gold_spans(gold: DataFrame) -> DataFrame:
 
 def seed(rows: DataFrame, kind: str, source: str, text: str) -> DataFrame:
     """Unreviewed gold from found units (s, e, names array<struct<s,e>>), for a person to correct."""
-    item = F.struct(F.array("s", "e").alias("main"), F.transform("names", lambda n: F.array(n["s"], n["e"])).alias("names"))
+    item = F.struct(F.array("s", "e").alias("main"), F.transform("names", lambda n: F.array(n["s"], n["e"])).alias("names"), F.lit(None).cast("array<string>").alias("persons"), F.lit("").alias("note"))
     return rows.select(F.struct("s", item.alias("item")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias("items")).select(F.lit(1).alias("format_version"), F.lit(kind).alias("kind"), F.lit(source).alias("source"), F.sha2(F.lit(text), 256).alias("text_sha256"), F.lit(False).alias("reviewed"), F.lit("").alias("annotator"), "items")
+
+
+def imported_gold(spans: DataFrame, text: str, kind: str, source: str, annotator: str = "") -> DataFrame:
+    """Reviewed gold from spans of annotation files: (main_start, main_end, names array<struct<start,end>>) or (start, end)."""
+    if "names" in spans.columns:
+        rows = spans.select(F.col("main_start").alias("s"), F.col("main_end").alias("e"), F.transform("names", lambda n: F.struct(n["start"].alias("s"), n["end"].alias("e"))).alias("names"))
+    else:
+        rows = spans.select(F.col("start").alias("s"), F.col("end").alias("e"), F.array().cast("array<struct<s:int,e:int>>").alias("names"))
+    return seed(rows, kind, source, text).withColumns({"reviewed": F.lit(True), "annotator": F.lit(annotator)})
+
+
+def save_gold(gold: DataFrame, path: str) -> None:
+    """Gold as JSON; persons that are all unknown and empty notes are left out."""
+    keep = lambda i: F.struct(i["main"].alias("main"), i["names"].alias("names"), F.when(F.exists(i["persons"], lambda p: p.isNotNull()), i["persons"]).alias("persons"), F.when(i["note"] != "", i["note"]).alias("note"))
+    whole = gold.withColumn("items", F.transform("items", keep)) if "items" in gold.columns else gold
+    whole.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
+def save_report(result: DataFrame, path: str, title: str) -> None:
+    """An evaluation's figures twice: JSON rows in ``result``, and a line of text for each in ``report``."""
+    result.write.mode("overwrite").json(f"{path}/result")
+    figures = F.concat_ws("  ", *[F.concat(F.lit(f"{c} "), F.coalesce((F.round(c, 4) if k in ("double", "float") else F.col(f"`{c}`")).cast("string"), F.lit("-"))) for c, k in result.dtypes])
+    result.select(F.concat(F.lit(f"{title}: "), figures).alias("value")).write.mode("overwrite").text(f"{path}/report")

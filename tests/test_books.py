@@ -131,3 +131,18 @@ def test_reader_statistics(spark):
     got = {r.book_id: r for r in automata.reader_statistics(df, params=params, confirm=lambda n: [1] if n.text != "n0" else []).collect()}
     alone = automata.Automaton(params, lambda n: [1] if n.text != "n0" else [], prose=True).run(t)
     assert tuple(got["a"])[1:] == tuple(got["b"])[1:] == (20, 4, 3, 3, alone.broken)
+
+
+def test_counters_and_items(spark):
+    recs = segment.records(spark.createDataFrame([("a", BOOK)], "book_id string, raw string"))
+    s = segment.statistics(recs, 3).first()
+    assert (s.records, s.numbered, s.with_kitab, s.with_bab, s.without_matn, s.longest, s.chains_found) == (2, 2, 1, 0, 0, 4, 3) and s.narrators >= 7
+    near = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (3, 1)], "source long, node long")
+    read = mentions(spark, [1, 2, 3, [7, 8], []])
+    found = bio.entries(bio.candidates(read, near, bio.EntryParams(near=60, threshold=2)))
+    d = bio.detector_statistics(read, found).first()
+    assert (d.mentions, d.matched, d.ambiguous, d.entries, d.persons, d.best_score) == (5, 4, 1, 1, 1, 2)
+    a = bio.annotation_statistics(found, spark.createDataFrame([(1,), (9,)], "person_id long")).first()
+    assert (a.persons, a.annotated, a.annotations, a["mean"]) == (2, 1, 1, 1.0)
+    item = bio.as_items(found, read).first()
+    assert (item.s, item.e, [tuple(n) for n in item.names]) == (0, 25, [(0, 5), (10, 15), (20, 25)])

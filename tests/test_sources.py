@@ -76,3 +76,29 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from tumbling_out").first()[0] == 1000
+
+
+def test_graph_written_and_read_back(spark, tmp_path):
+    from narralith.sources import json_files as J
+
+    rows = [(1, "a", ["a"], [2], [0]), (2, "b", ["b", "c"], [], [1])]
+    persons = spark.createDataFrame(rows, "id bigint, primary_name string, names array<string>, parents array<bigint>, children array<bigint>")
+    J.write_graph(persons, str(tmp_path / "g"), equality_threshold=0.5)
+    got = J.read_graph(spark, str(tmp_path / "g")).orderBy("id").collect()
+    assert [(r.id, r.primary_name, r.names, r.parents, r.children) for r in got] == rows and got[0].rank is None
+
+
+def test_gold_is_checked_in_every_row(spark, tmp_path):
+    from narralith.sources import json_files as J
+
+    spans = spark.createDataFrame([(0, 9, [(0, 3), (4, 9)])], "main_start int, main_end int, names array<struct<start:int,end:int>>")
+    good = J.imported_gold(spans, "some text", "hadith", "s", "me")
+    assert J.checked(good, "some text").first().annotator == "me"
+    for bad in (J.seed(J.gold_spans(good).select("s", "e", "names"), "hadith", "s", "some text"), J.imported_gold(spans, "other", "hadith", "s")):
+        with pytest.raises(J.GoldError):
+            J.checked(good.unionByName(bad), "some text")
+    J.save_gold(good, str(tmp_path / "gold"))
+    back = J.read_gold(spark, str(tmp_path / "gold"))
+    assert back.first().reviewed and [tuple(n) for n in J.gold_spans(back).first().names] == [(0, 3), (4, 9)]
+    J.save_report(spark.createDataFrame([(1, 0.51239)], "tp int, recall double"), str(tmp_path / "r"), "pairs")
+    assert spark.read.text(str(tmp_path / "r/report")).first().value == "pairs: tp 1  recall 0.5124"

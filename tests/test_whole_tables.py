@@ -110,3 +110,27 @@ def test_edit_similarity(spark):
     names = sorted({r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()})
     want = {(a, b) for a in names for b in names if a < b and a.split(" ")[0] == b.split(" ")[0]}
     assert {(r.a, r.b) for r in catalogue.QUERIES["edit_similarity_whole"](spark, SF).collect()} == want
+
+
+def acyclic(edge):
+    edge = set(edge)
+    while True:
+        ends = {n for e in edge for n in e} - {c for c, _ in edge}
+        kept = {(c, p) for c, p in edge if p not in ends}
+        if kept == edge:
+            return not edge
+        edge = kept
+
+
+def test_back_edges_break_every_cycle(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        edge = {(rng.randrange(30), rng.randrange(30)) for _ in range(50)}
+        edge = {(a, b) for a, b in edge if a != b}
+        back = {tuple(r) for r in graph.back_edges(spark.createDataFrame(sorted(edge), "child long, parent long")).collect()}
+        assert back <= edge and acyclic(edge - back) and (acyclic(edge) == (not back))
+        # each one alone closes a cycle with what stays
+        assert all(not acyclic((edge - back) | {e}) for e in back)
+    whole = line_edges(spark)
+    back = {tuple(r) for r in catalogue.QUERIES["back_edges_whole"](spark, SF).collect()}
+    assert back <= whole and acyclic(whole - back)
