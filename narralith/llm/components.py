@@ -4,6 +4,9 @@ Tasks of bounded size first contract what links they hold to a forest, in as few
 need; when one task can hold them all that is the result. Otherwise alternating large and small
 stars take over: every round is two grouped minima and joins spread over the links, until the links
 no longer change, at which point each node points at the least node it can reach. Nothing is collected.
+
+Cases: a link with a null end or with itself joins nothing; repeated links count once; an empty table gives
+an empty table; nodes without links have no row.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ its contents. An item longer than the largest size is cut into pieces of that si
 
 Cases: a null id or a length of null counts as it comes (null as length 0); items of length 0 take a
 place in the fullest bin; ties go to the bin opened first and the id that is lower; repeated rows
-are items of their own; an empty table gives no bins; only id and length are read.
+are items of their own; a very long text is cut as any long item; an empty table gives no bins; only id
+and length are read.
 """
 
 from __future__ import annotations
@@ -95,10 +96,33 @@ def word_count(text: str = "text") -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+#: Rows alike that are numbered at once.
+ALIKE = 10_000
+
+
+def sequences(bins: DataFrame, texts: DataFrame, id_col: str = "doc_id", tokens_col: str = "ids") -> DataFrame:
+    """(bin_id, bin_size, tokens, starts, doc_ids): the token sequence of each bin, with the place where each piece begins.
+
+    ``texts`` has one row per id, with its tokens (array). A piece goes where its bin is; a bin's tokens are
+    bounded by its size. Pieces of length 0, and ids without tokens, add nothing but their place.
+    """
+    pieces = bins.select("bin_id", "bin_size", F.posexplode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("place", "p"))
+    cut_ = F.coalesce(F.slice(F.col("__tokens"), (F.col("p.starts") + 1).cast("int"), F.col("p.lengths").cast("int")), F.array().cast(texts.schema[tokens_col].dataType))
+    right = texts.select(F.col(id_col).alias("__id"), F.col(tokens_col).alias("__tokens"))
+    held = pieces.join(right, F.col("p.doc_ids").eqNullSafe(F.col("__id")), "left").select("bin_id", "bin_size", "place", F.col("p.doc_ids").alias("doc"), cut_.alias("part"))
+    one = held.groupBy("bin_id", "bin_size").agg(F.array_sort(F.collect_list(F.struct("place", "doc", "part"))).alias("of"))
+    begins = F.transform("of", lambda x, k: F.aggregate(F.slice("of", F.lit(1), k), F.lit(0), lambda n, y: n + F.size(y["part"])))
+    return one.select("bin_id", "bin_size", F.flatten(F.transform("of", lambda x: x["part"])).alias("tokens"), begins.alias("starts"), F.transform("of", lambda x: x["doc"]).alias("doc_ids"))
+
+
 def pack_table(items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", length_col: str = "n_tokens") -> DataFrame:
     """One row per bin: its size, what it holds, and the items with the part of each (start and length)."""
     rows = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n"))
     shards = max(1, -(-rows.count() // s.items_per_shard))
+    # Rows alike in id and length, such as those without id, are numbered, so that they spread over the shards.
+    alike = rows.groupBy("id", "n").agg((F.count("*") - 1).alias("last"))
+    parts = alike.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(ALIKE).cast("long"))))
+    rows = parts.select("id", "n", F.explode(F.sequence("from", F.least("last", F.col("from") + (ALIKE - 1)))).alias("nth"))
     kind = rows.schema["id"].dataType
     many = lambda t: T.ArrayType(t)
     schema = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("bin_size", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("doc_ids", many(kind)), T.StructField("starts", many(T.LongType())), T.StructField("lengths", many(T.LongType()))])
@@ -137,5 +161,5 @@ def pack_table(items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
         if ids:
             yield from done()
 
-    dealt = rows.select(F.pmod(F.xxhash64("id", "n"), F.lit(shards)).alias("shard"), "id", "n").repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n"), "id")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "n", "nth"), F.lit(shards)).alias("shard"), "id", "n").repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n"), "id")
     return dealt.mapInArrow(released(run), schema)

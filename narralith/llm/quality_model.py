@@ -10,7 +10,8 @@ Labels enter by their own column alone; identifiers, language and source are nev
 Cases: null and empty texts have the statistics of a text without words; a null label, or one that
 no document has, is not learned from; several labels of one document all count; without any label,
 or with one class only, every score is that class's rate (0.5 without labels); repeated rows repeat
-their score; an empty table gives an empty table.
+their score; very long texts are read whole, their statistics are numbers of fixed count; an empty table
+gives an empty table; other columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations

@@ -5,12 +5,14 @@ tried on the labelled good documents: a cutoff is safe when the exact binomial t
 rejects more than ``risk / measures`` of the good documents with a chance below ``delta`` divided
 by the number of tests made (strata x measures x cutoffs, Bonferroni). The lowest safe cutoff of
 each stratum and measure is used; where none is safe the measure rejects nothing there. So, with
-probability 1 - delta, no stratum loses more than ``risk`` of its good documents.
+probability 1 - delta, no stratum loses more than ``risk`` of those of its good documents that pass the
+base rules (what these reject is fixed beforehand and not in the holdout). The bounds take labelled
+documents as independent; exact copies among them count as several.
 
 Cases: a null text has no words; a null stratum is a stratum of its own; a stratum without labels
 rejects nothing beyond the base rules; ties lie at or below a cutoff and are kept; repeated rows
-repeat their verdict; an empty table gives an empty table; columns of the input pass through, but
-for those named like an output column.
+repeat their verdict; very long texts are counted whole; an empty table gives an empty table; columns
+of the input pass through, but for those named like an output column.
 """
 
 from __future__ import annotations

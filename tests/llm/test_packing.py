@@ -64,3 +64,25 @@ def test_odd_tables(spark):
     pieces = sorted((i or 0, n) for b in got for i, n in zip(b.doc_ids, b.lengths))
     assert pieces == [(0, 808), (0, 4096), (0, 4096), (1, 0), (1, 5), (1, 5), (2, 0)]
     assert K.pack_table(df.where("false")).collect() == []
+
+
+def test_sequences_hold_every_token(spark):
+    rng = random.Random(4)
+    lengths = [0, 1, 9000, 4096, *[rng.randint(1, 900) for _ in range(60)]]
+    texts = spark.createDataFrame([(i, [1000 * i + k for k in range(n)]) for i, n in enumerate(lengths)], "doc_id long, ids array<int>")
+    bins = K.pack_table(texts.selectExpr("doc_id", "size(ids) as n_tokens"))
+    got = K.sequences(bins, texts).collect()
+    assert sorted(t for r in got for t in r.tokens) == sorted(1000 * i + k for i, n in enumerate(lengths) for k in range(n))
+    for r in got:
+        assert len(r.tokens) <= r.bin_size and len(r.starts) == len(r.doc_ids)
+        for at, end, doc in zip(r.starts, [*r.starts[1:], len(r.tokens)], r.doc_ids):
+            part = r.tokens[at:end]
+            assert part == list(range(part[0], part[0] + len(part))) if part else True
+            assert not part or (part[0] >= 1000 * doc and part[-1] < 1000 * doc + lengths[doc])
+
+
+def test_rows_without_id_spread(spark):
+    df = spark.createDataFrame([(None, 300)] * 400 + [(1, 5)], "doc_id long, n_tokens long")
+    bins = K.pack_table(df, K.Settings(items_per_shard=50)).collect()
+    assert sum(b.n_pieces for b in bins) == 401 and sum(b.n_tokens for b in bins) == 400 * 300 + 5
+    assert len({b.bin_id >> 32 for b in bins}) > 4
