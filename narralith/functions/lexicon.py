@@ -20,6 +20,7 @@ HONORIFIC = ["صلى الله عليه وسلم", "صلى الله عليه وع
 IMAM_KUNYA = ["ابي عبد الله", "ابي جعفر", "ابي الحسن", "ابي ابراهيم", "ابي محمد"]
 COMPOUND = ["عدة من اصحابنا", "بعض اصحابنا", "غير واحد", "جماعة"]
 RELATIVE = ["ابيه", "ابيهم", "ابيهما", "جده", "عنه"]
+RELATIVE_SUFFIXES = ["ه", "هم", "هما"]
 PROPHET = ["رسول", "الرسول", "النبي", "ص"]
 MATN_CUES = ["قال", "قالت", "قالوا", "يقول", "قلت", "سالته", "سالت", "كتبت", "سمعته"]
 
@@ -41,6 +42,7 @@ CLASSES = {
     "rasoul": RASOUL + HONORIFIC,
     "compound": COMPOUND + IMAM_KUNYA,
     "relative": RELATIVE,
+    "relative_suffix": RELATIVE_SUFFIXES,
     "prophet": PROPHET,
     "honorific": sorted({w for p in HONORIFIC for w in p.split()}),
 }
@@ -48,7 +50,7 @@ CLASSES = {
 
 def lexicon(spark: SparkSession) -> DataFrame:
     """(class, term, match): one row per term."""
-    rows = [(c, t, "prefix" if c == "nrc_stem" else "phrase" if " " in t else "word") for c, terms in CLASSES.items() for t in folded(terms)]
+    rows = [(c, t, "prefix" if c == "nrc_stem" else "suffix" if c == "relative_suffix" else "phrase" if " " in t else "word") for c, terms in CLASSES.items() for t in folded(terms)]
     return spark.createDataFrame(rows, "class string, term string, match string")
 
 

@@ -241,3 +241,13 @@ def graph_stats_top(spark, d):
 @register()
 def back_edges_whole(spark, d):
     return graph.back_edges(graph.cut(line_edges(spark, d)))
+
+
+@register(f"""WITH {STEP}, one AS (SELECT parent AS root, child AS node, row_number() OVER (PARTITION BY parent ORDER BY child) AS n FROM edge),
+ l1 AS (SELECT root, CAST(1 AS BIGINT) AS depth, root AS via, node FROM one WHERE n <= 10),
+ l2 AS (SELECT x.root, CAST(2 AS BIGINT) AS depth, x.node AS via, o.node FROM (SELECT DISTINCT root, node FROM l1) x JOIN one o ON o.root = x.node WHERE o.n <= 4)
+ SELECT * FROM l1 UNION ALL SELECT * FROM l2""")
+def ego_tree_students(spark, d):
+    edge = graph.cut(line_edges(spark, d)).select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    roots = edge.select(F.col("child").alias("root")).distinct()
+    return graph.ego_tree(edge, roots, (10, 4)).select("root", F.col("depth").cast("long").alias("depth"), "via", "node")

@@ -74,6 +74,14 @@ def person_forms(persons: DataFrame) -> DataFrame:
     return g.select("person_id", F.struct(F.transform("g.levels", lambda v: F.transform(v, item)).alias("levels"), F.col("g.qualifiers").alias("qualifiers"), F.coalesce("g.is_rasoul", F.lit(False)).alias("is_rasoul"), F.coalesce("g.is_relative", F.lit(False)).alias("is_relative"), F.col("g.name").alias("raw")).alias("canon"))
 
 
+def index_counters(persons: DataFrame) -> DataFrame:
+    """One row: persons, their forms, how many come exactly as saved, and how many must be read from the name again."""
+    g = persons.select("id", F.explode_outer("groups").alias("g"))
+    exact = F.coalesce(F.size("g.levels"), F.lit(0)) > 0
+    named = F.coalesce(F.col("g.name"), F.lit("")) != ""
+    return g.agg(F.countDistinct("id").alias("persons"), F.count("g").alias("forms"), F.count_if(exact).alias("exact"), F.count_if(F.col("g").isNotNull() & ~exact & named).alias("reparsed"))
+
+
 def write_graph(persons: DataFrame, path: str, **params) -> None:
     """JSON lines of persons beside a line of parameters; a single document per graph is for small graphs only."""
     persons.select(F.struct("*").alias("p")).write.mode("overwrite").json(f"{path}/persons")

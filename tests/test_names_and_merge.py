@@ -80,3 +80,12 @@ def test_small_graph(spark):
     assert {(r.child, r.parent) for r in graph.cyclic_core(ring).collect()} == {(1, 2), (2, 3), (3, 1)}
     assert set(graph.ranks(ring).toPandas()["node"]) == {4}
     assert graph.violations(edge, graph.ranks(edge)).isEmpty()
+
+
+def test_known_names(spark):
+    from narralith.operators import names as N
+
+    make = lambda rows, key: N.with_canonical(spark.createDataFrame(rows, f"{key} long, name string"), "name").select(key, "canon")
+    persons = make([(1, "محمد بن يحيا"), (2, "احمد بن محمد بن عيسا")], "person_id")
+    asked = make([(10, "محمد بن يحيا"), (11, "احمد بن محمد"), (12, "زياد بن مروان")], "mention_id")
+    assert sorted(r.mention_id for r in N.known(asked, persons, 0.5).collect()) == [10, 11]

@@ -102,3 +102,12 @@ def test_gold_is_checked_in_every_row(spark, tmp_path):
     assert back.first().reviewed and [tuple(n) for n in J.gold_spans(back).first().names] == [(0, 3), (4, 9)]
     J.save_report(spark.createDataFrame([(1, 0.51239)], "tp int, recall double"), str(tmp_path / "r"), "pairs")
     assert spark.read.text(str(tmp_path / "r/report")).first().value == "pairs: tp 1  recall 0.5124"
+
+
+def test_index_counters(spark):
+    from narralith.sources import json_files as J
+
+    form = "struct<name:string,levels:array<array<array<string>>>>"
+    rows = [(1, [("a", [[["a", "name"]]]), ("b", None)]), (2, [("c", [])]), (3, None), (4, [(None, None)])]
+    got = J.index_counters(spark.createDataFrame(rows, f"id bigint, groups array<{form}>")).first()
+    assert tuple(got) == (4, 4, 1, 2)
