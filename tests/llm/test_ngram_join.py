@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from narralith.llm import ngram_join as J
@@ -86,3 +87,29 @@ def test_many_near_copies(spark):
     s = J.Settings(block=40, small=6)
     got = {r.id: (r.n, r.component) for r in J.join_components(spark.createDataFrame(docs, "doc_id long, text string"), s).collect()}
     assert got == brute(docs, s)
+
+
+def test_suffix_filter_never_loses_a_link():
+    rng = np.random.default_rng(3)
+    linked = unlinked = 0
+    for _ in range(3000):
+        s = J.Settings(percent=int(rng.integers(50, 100)))
+        x = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random() ** 0.3], rng.integers(0, 2**64, int(rng.integers(0, 30)), dtype=np.uint64)]))
+        if not len(y):
+            continue
+        same = len(np.intersect1d(x, y))
+        if 100 * same >= s.percent * (len(x) + len(y) - same):
+            linked += 1
+            assert J.may_link(len(x), J.counts_of(x), len(y), J.counts_of(y), s)
+            assert J.plausible_forest(np.array([len(x), len(y)]), [J.counts_of(x), J.counts_of(y)], np.array([True, True]), None, s)
+            assert J.linked_forest([x, y], None, s) and J.linked_forest([x, y, x], None, s)
+        else:
+            unlinked += 1
+            assert not J.linked_forest([x, y], None, s) and not J.linked_forest([y, x], np.array([0, 1]), s)
+    assert min(linked, unlinked) > 300
+
+
+def test_counts_that_do_not_fit_are_unknown():
+    crowded = np.arange(3000, dtype=np.uint64)  # all in one range
+    assert J.counts_of(crowded) is None and J.may_link(3000, None, 10, b"\0\0\0\0", J.Settings())
