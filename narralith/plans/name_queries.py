@@ -115,7 +115,7 @@ def occurrences(spark, chains=CHAINS):
     return names.with_canonical(spark.createDataFrame(rows, "occ_id long, chain_id long, position int, name string"), "name")
 
 
-#: The persons of the twelve occurrences, worked out by hand; two names with two of three levels alike are one.
+#: The persons of the twelve occurrences, read off the output and checked by hand; two names with two of three levels alike are one.
 PERSONS = list(enumerate([0, 1, 2, 0, 3, 2, 4, 5, 6, 0, 1, 3]))
 KEYS = ["محمد-يحيا", "احمد-محمد-عيسا", "AB عبد الله", "محمد-يحيا", "علي-ابراهيم", "AB عبد الله", "حرب-الحسين", "ابراهيم:الشيباني", "AB الجارود", "محمد-يحيا", "احمد-محمد", "علي-ابراهيم-هاشم"]
 

@@ -208,7 +208,7 @@ def quality_reject(spark, d):
 BOOK = "1 - حدثنا محمد بن يحيا عن احمد بن محمد بن عيسا عن ابن ابي عمير عن ابي عبد الله عليه السلام قال: الحمد لله رب العالمين . 2 - علي بن ابراهيم عن ابيه عن النوفلي عن السكوني عن رسول الله صلى الله عليه واله قال: طلب العلم . "
 
 
-#: The records of the two books, worked out by hand. The second narration of each has two narrators before
+#: The records of the two books, read off the output and checked by hand. The second narration of each has two narrators before
 #: five words without a name end it, fewer than a chain needs; a copy of the book is 218 characters further on.
 FOUND = [(b, 1, 4 + at, 91 + at, "rasoul", 4, "محمد بن يحيا < احمد بن محمد بن عيسا < ابن ابي عمير < ابي عبد الله", "قال: الحمد لله رب العالمين .", "", "") for b, at in (("a", 0), ("b", 0), ("b", 218), ("b", 436))]
 
