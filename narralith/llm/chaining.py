@@ -5,10 +5,11 @@
    Where one seed is selected again and again, as in a run of one word, a place a window is kept.
 2. Seeds are joined with the first place in the corpus that has the same one (least document, then
    least place), not with each other: a passage in thousands of documents gives one match per
-   seed and document. Seeds that no passage found so covers are then held to every place in
-   earlier documents, as the first one may hold a part of their passage only: the places of a seed meet
-   in blocks of bounded size, each with the words around it as digits and the seeds nearby, and what
-   leaves the task is the earliest place that makes a passage, and those before it that may be part of one.
+   seed and document. Places of a seed that no such passage joins with the first one are then held to all
+   places in other documents: the places of a seed meet in one task, each with hashes of the words around it
+   and the seeds nearby. Hash joins on equal surroundings give the pairs that agree on ``min_words`` words, that
+   agree after an edit, or that have a further seed in reach. A pair that makes a passage joins the classes of
+   its places, and places of one class are not compared: rows connect them already, if not each with each.
 3. The matches of a pair of documents are chained in one sweep by a Fenwick tree of prefix maxima:
    a chain's score is the words its seeds cover less a cost for the gaps on both sides. Best chains
    are taken off one after the other.
@@ -28,7 +29,7 @@ other columns there are.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralith.llm._shared import block_pairs, cut, drop_cut, released
+from narralith.llm._shared import cut, drop_cut, released
 
 MEMO_WORDS = 300_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -52,7 +53,7 @@ class Settings:
     identity: float = 0.8
     gap: float = 0.25  # cost of each word passed over on either side
     flank: int = 64  # words that a chain may grow by beyond its outer seeds, at each end
-    block: int = 1024  # places of one seed that a task holds on either side
+    block: int = 16384  # places that are compared in one go; those of one seed always are
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -364,64 +365,269 @@ def _aligned(matches: DataFrame, texts: DataFrame, s: Settings, id_type) -> Data
     return both.select("doc", "other", "xs", "ys", "mine", "mine_at", "theirs", "theirs_at").mapInArrow(released(aligned), out).distinct()
 
 
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = ((h ^ (h >> np.uint64(31))) + w.astype(np.uint64)) * M1
+    return (h ^ (h >> np.uint64(29))) * M2
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Which of the keys occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = np.r_[False, keys[order][1:] == keys[order][:-1], False]
+    out = np.zeros(len(keys), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
+def buckets(keys: np.ndarray, rows: np.ndarray, label: np.ndarray):
+    """The rows of each key that has more than one label, in order."""
+    order = np.lexsort((label, keys))
+    two = (keys[order][1:] == keys[order][:-1]) & (label[order][1:] != label[order][:-1])
+    some = np.isin(keys, keys[order][1:][two])
+    keys, rows = keys[some], rows[some]
+    order = np.lexsort((rows, keys))
+    edge = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1], True])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if b - a > 1:
+            yield rows[order[a:b]]
+
+
 class Places:
-    """Places of one seed: the digits around each, and the seeds nearby that other places have too."""
-
-    def __init__(self, rows: list[dict], s: Settings):
-        self.s, self.n = s, len(rows)
-        reach = reach_of(s)
-        self.around = np.frombuffer(b"".join(r["around"] for r in rows), np.uint8).reshape(self.n, 2, reach)
-        self.room = np.array([[r["left"], r["right"]] for r in rows])
-        near = [np.frombuffer(r["near"], np.int64) for r in rows]
-        owner = np.repeat(np.arange(self.n), [len(x) for x in near])
-        _, kind, times = np.unique(np.concatenate(near), return_inverse=True, return_counts=True)
-        shared = times[kind] > 1
-        self.owner, self.kind = owner[shared], kind[shared]
-        self.offset = np.concatenate([np.frombuffer(r["offsets"], np.int16) for r in rows])[shared].astype(np.int64)
-        order = np.argsort(self.kind, kind="stable")
-        self.by_kind, self.starts = self.owner[order], np.searchsorted(self.kind[order], np.arange(len(times) + 1))
-        self.mine = np.searchsorted(self.owner, np.arange(self.n + 1))
+    """Places of some seeds, all of each, in order of (seed, document, place): which of them share a passage.
 
-    def partners(self, i: int, others: np.ndarray) -> list[int]:
-        """Of ``others``, in order: the first that makes a passage with place i by itself, and those before it that might with further seeds.
+    Places that a passage with the seed's first place covers are one class to begin with, and each link found
+    joins two classes. Places of one class are not compared: rows join them already.
+    """
 
-        One that makes a passage covers the place, and later ones add nothing that their own further seeds do not
-        find. It agrees on ``min_words`` words, or comes to as many by growth. One that might agrees on five words
-        after an edit, or shares a seed nearby, beyond where the agreement ends, to which a chain could reach.
-        """
-        s, here = self.s, self.around[i]
-        run = np.empty((len(others), 2), np.int64)
-        edit = np.zeros(len(others), bool)
-        for side in (0, 1):
-            there = self.around[others, side]
-            room = np.minimum(self.room[others, side], self.room[i, side])
-            same = np.concatenate([there == here[side], np.zeros((len(others), 1), bool)], axis=1)
-            run[:, side] = np.minimum(same.argmin(1), room)
-        whole = run.sum(1) + s.k >= s.min_words
-        if whole.any():
-            return others[[int(whole.argmax())]].tolist()
+    AGREE = 8  # words that agree after an edit, as in ``grow``
+
+    def __init__(self, h, doc, linked, around, room, near, offsets, s: Settings):
+        self.s, self.n, self.h, self.doc = s, len(h), h, doc
+        self.words, self.room = around, room  # (n, side, reach) from the seed outwards; (n, side)
+        self.owner = np.repeat(np.arange(self.n), [len(x) // 8 for x in near])
+        self.near, self.offset = np.frombuffer(b"".join(near), np.int64), np.frombuffer(b"".join(offsets), np.int16).astype(np.int64)
+        self.mine = np.searchsorted(self.owner, np.arange(self.n + 1))
+        self.cls = list(range(self.n))
+        lead: dict[int, int] = {}
+        for i in np.flatnonzero(linked).tolist():
+            self.cls[i] = lead.setdefault(int(h[i]), i)
+        reach = around.shape[2]
+        self.prefix = np.empty((2, reach + 1, self.n), np.uint64)
         for side in (0, 1):
-            for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2)):
-                at = np.flatnonzero((run[:, side] + di + 5 <= self.room[i, side]) & (run[:, side] + dj + 5 <= self.room[others, side]))
-                for k in range(5):
-                    at = at[here[side][run[at, side] + di + k] == self.around[others[at], side, run[at, side] + dj + k]]
-                edit[at] = True
-        found = edit.copy()
-        for m in range(self.mine[i], self.mine[i + 1]):
-            holds = np.zeros(self.n, bool)
-            holds[self.by_kind[self.starts[self.kind[m]] : self.starts[self.kind[m] + 1]]] = True
-            found |= holds[others] & ((self.offset[m] > run[:, 1]) | (self.offset[m] < -run[:, 0]))
-        out = []
-        for j in np.flatnonzero(found).tolist():
-            out.append(int(others[j]))
-            if edit[j] and self.grows(i, out[-1]):
+            self.prefix[side, 0] = mixed(h.view(np.uint64), np.zeros(1, np.uint32))
+            for d in range(reach):
+                self.prefix[side, d + 1] = mixed(self.prefix[side, d], around[:, side, d])
+
+    def of(self, i: int) -> int:
+        while self.cls[i] != i:
+            self.cls[i] = i = self.cls[self.cls[i]]
+        return i
+
+    def classes(self) -> np.ndarray:
+        return np.fromiter(map(self.of, range(self.n)), np.int64, self.n)
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the classes were two; they are one after."""
+        i, j = self.of(i), self.of(j)
+        self.cls[max(i, j)] = min(i, j)
+        return i != j
+
+    def links(self):
+        """(i, j, dx, dy): places i < j whose documents share a passage or might, as matches at dx and dy from them."""
+        yield from self.whole()
+        for i, j in self.edited():
+            if self.of(i) != self.of(j):
+                if self.grows(i, j):
+                    self.join(i, j)
+                    yield i, j, 0, 0
+                else:
+                    yield from self.chained(i, j)
+        for i, j in self.apart():
+            yield from self.chained(i, j)
+
+    def chained(self, i: int, j: int) -> list[tuple[int, int, int, int]]:
+        """The matches of the seed and those nearby if their chain makes a passage, or if that is not to be seen from the words here."""
+        near = self.beside(i, j)
+        if not near or self.of(i) == self.of(j):
+            return []
+        k, reach, out = self.s.k, self.words.shape[2], [(i, j, 0, 0), *near]
+        seed = [-1 - m for m in range(k)]  # equal in both
+        a, b = (self.words[p, 0, : self.room[p, 0]].tolist()[::-1] + seed + self.words[p, 1, : self.room[p, 1]].tolist() for p in (i, j))
+        x, y = int(self.room[i, 0]), int(self.room[j, 0])
+        inside = [(x + dx, y + dy) for _, _, dx, dy in out if 0 <= x + dx <= len(a) - k and 0 <= y + dy <= len(b) - k]
+        for chain in chains(inside, self.s):
+            if (x, y) in chain:
                 break
-        return out
+        else:
+            return out  # other matches contradict it: the whole pair decides
+        s0, e0, s1, e1, same = align(a, b, chain, self.s)
+        if min(e0 - s0, e1 - s1) >= self.s.min_words and same >= self.s.identity:
+            self.join(i, j)
+            return out
+        edge = self.AGREE + 2  # growth reads so far ahead
+        cut_off = len(inside) < len(out) or (min(s0, s1) < edge and max(x, y) == reach) or (min(len(a) - e0, len(b) - e1) < edge and max(self.room[i, 1], self.room[j, 1]) == reach)
+        return out if cut_off else []
+
+    def whole(self):
+        """Places that agree on ``min_words`` words, each with the earliest that has the same ones."""
+        need = self.s.min_words - self.s.k
+        for left in range(need + 1):
+            rows = np.flatnonzero((self.room[:, 0] >= left) & (self.room[:, 1] >= need - left))
+            keys = mixed(self.prefix[0, left, rows], np.zeros(1, np.uint32)) ^ self.prefix[1, need - left, rows]
+            again = repeated(keys)
+            rows, keys = rows[again], keys[again]
+            if not len(rows):
+                continue
+            for group in buckets(keys, rows, self.classes()[rows]):
+                other = np.flatnonzero(self.doc[group] != self.doc[group[0]])
+                if not len(other):
+                    continue
+                group = group.tolist()
+                for j in group[1:]:
+                    i = group[0] if self.doc[j] != self.doc[group[0]] else group[other[0]]
+                    if self.join(i, j):
+                        yield min(i, j), max(i, j), 0, 0
+
+    def edited(self):
+        """Pairs of classes' places that agree on eight words after an edit, next to where their agreement ends."""
+        n, need = self.AGREE, self.s.min_words - self.s.k
+        for side in (0, 1):
+            w, room = self.words[:, side], self.room[:, side]
+            run = np.zeros((w.shape[1] + 1, self.n), np.uint64)  # hash of the eight words from a place on
+            for d in range(w.shape[1] - n + 1):
+                h = np.zeros(self.n, np.uint64)
+                for k in range(n):
+                    h = mixed(h, w[:, d + k])
+                run[d] = h
+            rows = np.arange(self.n)
+            for d in range(need):
+                rows = rows[room[rows] >= d + n]
+                rows = rows[repeated(self.prefix[side, d, rows])]
+                if not len(rows):
+                    break
+                fork = rows[~np.isin(self.prefix[side, d, rows], self._alone(side, d, rows))]
+                if not len(fork):
+                    continue
+                key = lambda shift, at: mixed(self.prefix[side, d, at], np.zeros(1, np.uint32)) ^ run[d + shift, at]  # noqa: E731,B023
+                deep = [fork[room[fork] >= d + shift + n] for shift in range(3)]
+                for a, b in ((1, 1), (2, 2), (1, 0)):
+                    at = deep[a] if a == b else np.r_[deep[a], deep[b]]
+                    keys = key(a, deep[a]) if a == b else np.r_[key(a, deep[a]), key(b, deep[b])]
+                    for group in buckets(keys, at, w[at, d]):
+                        group = np.unique(group)
+                        yield from self._across(group, w[group, d])
+
+    def _alone(self, side: int, d: int, rows: np.ndarray) -> np.ndarray:
+        """Prefixes after which one word follows in all rows."""
+        now, then = self.prefix[side, d, rows], self.prefix[side, d + 1, rows]
+        _, first = np.unique(then, return_index=True)
+        value, times = np.unique(now[first], return_counts=True)
+        return value[times == 1]
+
+    def _across(self, group: np.ndarray, word: np.ndarray):
+        """Pairs of different next words, classes and documents; places with the commonest word only meet the rest."""
+        cls, doc = np.array([self.of(i) for i in group.tolist()]), self.doc[group]
+        value, times = np.unique(word, return_counts=True)
+        rest = word != value[times.argmax()]
+        for a in np.flatnonzero(rest).tolist():
+            good = (cls != cls[a]) & (doc != doc[a]) & (word != word[a]) & (~rest | (group > group[a]))
+            for b in group[good].tolist():
+                yield min(int(group[a]), b), max(int(group[a]), b)
 
     def grows(self, i: int, j: int) -> bool:
-        a, b = ([self.around[p, side, : self.room[p, side]].tobytes() for side in (0, 1)] for p in (i, j))
-        (left_a, left_b, _), (right_a, right_b, _) = (grow(a[side], b[side], self.s) for side in (0, 1))
-        return min(left_a + right_a, left_b + right_b) + self.s.k >= self.s.min_words
+        """Whether growth around the seed alone makes a passage."""
+        a, b = ([self.words[p, side, : self.room[p, side]].tolist() for side in (0, 1)] for p in (i, j))
+        (left_a, left_b, c), (right_a, right_b, d) = (grow(a[side], b[side], self.s) for side in (0, 1))
+        x, y = left_a + right_a + self.s.k, left_b + right_b + self.s.k
+        return min(x, y) >= self.s.min_words and 1 - (c + d) / max(x, y) >= self.s.identity
+
+    def beside(self, i: int, j: int) -> list[tuple[int, int, int, int]]:
+        """Matches of the seeds nearby."""
+        at: dict[int, list[int]] = {}
+        for m in range(self.mine[i], self.mine[i + 1]):
+            at.setdefault(int(self.near[m]), []).append(int(self.offset[m]))
+        return [(i, j, x, int(self.offset[m])) for m in range(self.mine[j], self.mine[j + 1]) for x in at.get(int(self.near[m]), ()) if x * self.offset[m] > 0]
+
+    def apart(self):
+        """Pairs of classes' places with a further common seed nearby, beyond where they agree, that a passage may join.
+
+        In a passage of runs that agree (A words, less than ``min_words`` each) and gaps (of l words that cost c), the costs come to
+        at most t = 1 - identity of all words. With half of each inner run put to either gap, one gap has
+        c <= t l + t/2 (A + A') + t/2 (first A + last A) / (number of gaps): that gap is enough to find the pair.
+        """
+        s, t = self.s, 1 - self.s.identity
+        most, k = s.min_words - 1, s.k
+        farthest = int(t * s.flank + 2 * t * most)
+        cls = self.classes()
+        for side in (0, 1):
+            mine = np.flatnonzero((self.offset > 0) if side else (self.offset < 0))
+            i, o = self.owner[mine], np.abs(self.offset[mine])
+            key = mixed(self.h[i].view(np.uint64), np.zeros(1, np.uint32)) ^ mixed(self.near[mine].view(np.uint64), np.full(1, side + 1, np.uint32))
+            again = repeated(key)
+            i, o, key = i[again], o[again], key[again]
+            if not len(i):
+                continue
+            # the same offset and the same words up to it: the seed lies where they agree
+            path = self.prefix[side, np.clip(o - k, 0, s.flank - k), i]
+            order = np.lexsort((path, o, key))
+            i, o, key, path = i[order], o[order], key[order], path[order]
+            at = np.arange(len(i))
+            new_key = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (o[1:] != o[:-1]) | (path[1:] != path[:-1])])
+            lo = np.r_[new, len(i)][np.searchsorted(new, at, side="right")]
+            ordinal = np.searchsorted(new_key, at, side="right")
+            line = ordinal * 1024 + o
+            hi = np.searchsorted(line, line + np.minimum(farthest, 1023 - o), side="right")
+            size = np.maximum(hi - lo, 0)
+            total = np.r_[0, np.cumsum(size)]
+            start = 0
+            while start < len(i):
+                stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 17), side="right")) - 1)
+                for low in range(0, int(size[start]), 1 << 17) if stop == start + 1 else (0,):
+                    part = size[start:stop] if stop > start + 1 else np.minimum(size[start:stop] - low, 1 << 17)
+                    a = np.repeat(at[start:stop], part)
+                    b = lo[a] + np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + low
+                    good = (cls[i[a]] != cls[i[b]]) & (self.doc[i[a]] != self.doc[i[b]])
+                    a, b = a[good], b[good]
+                    run = [self.run(i[a], i[b], z) for z in (side, 1 - side)]
+                    gap_a, gap_b = o[a] - k - run[0], o[b] - k - run[0]
+                    gap = np.maximum(gap_a, gap_b)
+                    room = t / 2 * (run[0] + run[1] + k + most)
+                    good = (o[a] > run[0]) & (o[b] > run[0]) & (np.abs(o[a] - o[b]) <= t * gap + np.maximum(2 * room, room + t / 2 * most) + 1e-9)
+                    for x, y, ox, oy, r, r1 in zip(*(v[good].tolist() for v in (i[a], i[b], o[a], o[b], run[0], run[1]))):
+                        if self.of(x) != self.of(y) and self.near_enough(x, y, ox - k, oy - k, r, r + r1 + k, side):
+                            yield min(x, y), max(x, y)
+                start = stop
+
+    def run(self, i: np.ndarray, j: np.ndarray, side: int) -> np.ndarray:
+        """Words that agree from the seeds on."""
+        same = np.concatenate([self.words[i, side] == self.words[j, side], np.zeros((len(i), 1), bool)], axis=1)
+        return np.minimum(same.argmin(1), np.minimum(self.room[i, side], self.room[j, side]))
+
+    def near_enough(self, i: int, j: int, x: int, y: int, run: int, whole: int, side: int) -> bool:
+        """Whether the gap from the run to the next seeds, at words x and y from here, costs no more than a passage allows."""
+        s, t = self.s, 1 - self.s.identity
+        a, b = self.words[i, side, : self.room[i, side]].tolist(), self.words[j, side, : self.room[j, side]].tolist()
+        far_a, far_b = x + s.k, y + s.k
+        n = 0
+        while far_a + n < len(a) and far_b + n < len(b) and a[far_a + n] == b[far_b + n]:
+            n += 1
+        back = 0
+        while min(x, y) - back > run and a[x - back - 1 : x - back] == b[y - back - 1 : y - back] != []:
+            back += 1
+        ends = far_a + n >= self.words.shape[2] or far_b + n >= self.words.shape[2]
+        next_ = s.min_words - 1 if ends else min(s.k + n + back, s.min_words - 1)
+        room = t / 2 * (whole + next_)
+        most = t * max(x - run, y - run, 0) + max(2 * room, room + t / 2 * (s.min_words - 1)) + 1e-9
+        gap_a, gap_b = a[run : max(x, run)], b[run : max(y, run)]
+        kept = Counter(gap_a)
+        kept.subtract(gap_b)
+        if max(sum(v for v in kept.values() if v > 0), -sum(v for v in kept.values() if v < 0)) > most:
+            return False
+        return edits(gap_a, gap_b) <= most
 
 
 def reach_of(s: Settings) -> int:
@@ -430,20 +636,21 @@ def reach_of(s: Settings) -> int:
 
 
 def _with_surroundings(occurrences: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(h, doc, x, bare) of open ones, with the digits around (from the place outwards), the words there are on each side, and the shared seeds nearby."""
+    """(h, doc, x, linked) of open ones, with the words around (hashes of 32 bits, from the place outwards), the words there are on each side, and the shared seeds nearby."""
     # A text's places are bounded by the text.
-    lists = occurrences.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("x", "h", "bare", "open"))).alias("of")).where(F.exists("of", lambda o: o["open"]))
+    lists = occurrences.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("x", "h", "linked", "open"))).alias("of")).where(F.exists("of", lambda o: o["open"]))
     rows = texts.select(F.col("id").alias("doc"), "text").join(lists, "doc")
     reach = reach_of(s)
-    schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["id"], T.StructField("x", T.IntegerType()), T.StructField("bare", T.BooleanType()), T.StructField("around", T.BinaryType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("near", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
+    schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["id"], T.StructField("x", T.IntegerType()), T.StructField("linked", T.BooleanType()), T.StructField("around", T.BinaryType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("near", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
     schema = T.StructType([T.StructField("doc", f.dataType) if f.name == "id" else f for f in schema])
 
     def run(batches):
         for b in batches:
             for doc, text, of in zip(b.column(0), b.column(1), b.column(2)):
                 words = words_of(text.as_py())
-                digits = np.frombuffer(b"_" * reach + marks_of(words).encode() + b"_" * reach, np.uint8)
-                h, at, bare, open_ = (of.values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "x", "bare", "open"))
+                marks = np.zeros(len(words) + 2 * reach, np.uint32)
+                marks[reach : reach + len(words)] = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.uint32)
+                h, at, linked, open_ = (of.values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "x", "linked", "open"))
                 places = np.flatnonzero(open_)
                 for lo in range(0, len(places), 4096):
                     part = places[lo : lo + 4096]
@@ -452,8 +659,8 @@ def _with_surroundings(occurrences: DataFrame, texts: DataFrame, s: Settings) ->
                         a, z = np.searchsorted(at, [x - s.flank, x + s.flank + 1])
                         near, offsets = h[a:z], (at[a:z] - x).astype(np.int16)
                         mid = x + reach
-                        out.append((digits[mid - reach : mid][::-1].tobytes() + digits[mid + s.k : mid + s.k + reach].tobytes(), min(x, reach), min(max(len(words) - x - s.k, 0), reach), near[offsets != 0].tobytes(), offsets[offsets != 0].tobytes()))
-                    columns = [pa.array(h[part]), pa.array([doc.as_py()] * len(part), b.column(0).type), pa.array(at[part], pa.int32()), pa.array(bare[part])]
+                        out.append((marks[mid - reach : mid][::-1].tobytes() + marks[mid + s.k : mid + s.k + reach].tobytes(), min(x, reach), min(max(len(words) - x - s.k, 0), reach), near[offsets != 0].tobytes(), offsets[offsets != 0].tobytes()))
+                    columns = [pa.array(h[part]), pa.array([doc.as_py()] * len(part), b.column(0).type), pa.array(at[part], pa.int32()), pa.array(linked[part])]
                     columns += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -461,59 +668,63 @@ def _with_surroundings(occurrences: DataFrame, texts: DataFrame, s: Settings) ->
 
 
 def uncovered_matches(again: DataFrame, found: DataFrame, texts: DataFrame, s: Settings, id_type) -> DataFrame:
-    """(doc, other, x, y): seeds that no passage of ``found`` covers, with the places in earlier documents that could share one."""
-    taken = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    inside = F.exists("spans", lambda p: (F.col("x") >= p["start"]) & (F.col("x") + s.k <= p["end"]))
-    marked = cut(again.join(taken, "doc", "left").select("h", "doc", "x", (~F.coalesce(inside, F.lit(False)) & (F.col("doc") != F.col("other"))).alias("bare")))
-    open_ = marked.where("bare").select("h").distinct()
-    open_ = open_.withColumn("open", F.lit(True))
-    places = cut(_with_surroundings(marked.join(open_, "h", "left").withColumn("open", F.coalesce("open", F.lit(False))), texts, s))
+    """(doc, other, x, y): places of a seed that no passage of ``found`` joins with its first place, and the places in all other documents that could share one."""
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("other", "start", "end", "other_start", "other_end")).alias("spans"))
+    joined = lambda p: (p["other"] == F.col("other")) & (F.col("x") >= p["start"]) & (F.col("x") + s.k <= p["end"]) & (F.col("y") >= p["other_start"]) & (F.col("y") + s.k <= p["other_end"])
+    own = F.col("doc") == F.col("other")
+    linked = (own & (F.col("x") == F.col("y"))) | (~own & F.coalesce(F.exists("spans", joined), F.lit(False)))
+    marked = cut(again.join(spans, "doc", "left").select("h", "doc", "x", linked.alias("linked"), (~own & ~linked).alias("bare")))
+    open_ = marked.where("bare").select("h").distinct().withColumn("open", F.lit(True))
+    places = cut(_with_surroundings(marked.drop("bare").join(open_, "h", "left").withColumn("open", F.coalesce("open", F.lit(False))), texts, s))
     drop_cut(marked)
-    order = ["h", "i", "j"]
-    dealt = block_pairs(places.withColumns({"node": F.xxhash64("doc", "x"), "bytes": F.lit(0)}), ["h"], s.block, 1 << 30).drop("node")
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order)
+    order = ["h", "doc", "x"]
+    dealt = places.repartition("h").sortWithinPartitions(*order)
     schema = T.StructType([T.StructField("doc", id_type), T.StructField("other", id_type), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])
 
-    def pairs(at, held):
-        if len(held) < 2:
-            return
-        held = sorted(held, key=lambda r: (r["doc"], r["x"]))
-        group = Places(held, s)
-        docs = np.unique([r["doc"] for r in held], return_inverse=True)[1]
-        side = np.array([r["mine"] for r in held])
-        for i, r in enumerate(held):
-            if r["bare"]:
-                others = np.flatnonzero((docs < docs[i]) & ((side != side[i]) | (at[1] == at[2])))
-                for j in group.partners(i, others) if len(others) else ():
-                    yield r["doc"], held[j]["doc"], r["x"], held[j]["x"]
+    def found_in(table: pa.Table):
+        col = {c: table.column(c).combine_chunks() for c in table.column_names}
+        n = len(table)
+        codes = col["doc"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        x = col["x"].to_numpy()
+        around = np.frombuffer(b"".join(col["around"].to_pylist()), np.uint32).reshape(n, 2, reach_of(s))
+        group = Places(col["h"].to_numpy(), codes, col["linked"].to_numpy(zero_copy_only=False), around, np.stack([col["left"].to_numpy(), col["right"].to_numpy()], axis=1), col["near"].to_pylist(), col["offsets"].to_pylist(), s)
+        rows: set = set()
+
+        def batch():
+            got = np.array(sorted(rows), np.int64).reshape(-1, 4)
+            rows.clear()
+            i, j = got[:, 0], got[:, 1]
+            return pa.RecordBatch.from_arrays([col["doc"].take(pa.array(j)), col["doc"].take(pa.array(i)), pa.array((x[j] + got[:, 3]).astype(np.int32)), pa.array((x[i] + got[:, 2]).astype(np.int32))], names=schema.names)
+
+        for row in group.links():
+            rows.add(row)
+            if len(rows) == 65536:
+                yield batch()
+        if rows:
+            yield batch()
 
     def run(batches):
-        at, held, kind = None, [], None
-
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((kind, kind, pa.int32(), pa.int32()))], names=schema.names)
-
-        def flush():
-            out = []
-            for row in pairs(at, held):
-                out.append(row)
-                if len(out) == 8192:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
-
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            kind = b.schema.field("doc").type
-            for row in b.to_pylist():
-                now = (row["h"], row["i"], row["j"])
-                if now != at:
-                    yield from flush()
-                    at, held = now, []
-                held.append(row)
-        yield from flush()
-
-    return dealt.mapInArrow(released(run), schema)
+            if not b.num_rows:
+                continue
+            h = b.column("h").to_numpy()
+            if sum(x.num_rows for x in held) >= s.block:
+                # all places of a seed are read together
+                end = int(np.argmax(h != held[-1].column("h")[-1].as_py())) if (h != held[-1].column("h")[-1].as_py()).any() else len(h)
+                held.append(b.slice(0, end))
+                if end < len(h):
+                    yield from found_in(pa.Table.from_batches(held))
+                    held = [b.slice(end)]
+            else:
+                held.append(b)
+        if held:
+            yield from found_in(pa.Table.from_batches(held))
+
+    matches = cut(dealt.mapInArrow(released(run), schema).distinct())
+    drop_cut(places)
+    known = matches.join(found.select("doc", "other", "start", "end", "other_start", "other_end"), ["doc", "other"]).where((F.col("x") >= F.col("start")) & (F.col("x") + s.k <= F.col("end")) & (F.col("y") >= F.col("other_start")) & (F.col("y") + s.k <= F.col("other_end")))
+    return matches.join(known.select("doc", "other", "x", "y").distinct(), ["doc", "other", "x", "y"], "left_anti")
 
 
 def single_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -182,3 +182,73 @@ def test_runs_of_one_word():
         for i in range(len(every) - 4):
             least = min(every[i : i + 5].view("uint64"))
             assert any(kept.get(i + d) is not None and kept[i + d] == every[i + d] and every[i + d : i + d + 1].view("uint64")[0] == least for d in range(5))
+
+
+def brute_links(docs):
+    """Pairs of documents with a passage: all their common seeds, chained and aligned."""
+    seeds = {i: C.seeds_of(t, S) for i, t in docs}
+    words = {i: C.words_of(t) for i, t in docs}
+    out = set()
+    for i, _ in docs:
+        for j, _ in docs:
+            if j < i:
+                there: dict = {}
+                for h, y in zip(*(v.tolist() for v in seeds[j])):
+                    there.setdefault(h, []).append(y)
+                matches = [(x, y) for h, x in zip(*(v.tolist() for v in seeds[i])) for y in there.get(h, ())]
+                for chain in C.chains(matches, S) if matches else ():
+                    s0, e0, s1, e1, same = C.align(words[i], words[j], chain, S)
+                    if min(e0 - s0, e1 - s1) >= S.min_words and same >= S.identity:
+                        out.add((i, j))
+    return out
+
+
+def classes_of(ids, links):
+    at = {i: i for i in ids}
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, j in links:
+        i, j = top(i), top(j)
+        at[max(i, j)] = min(i, j)
+    return {i: top(i) for i in ids}
+
+
+@pytest.mark.parametrize("every", [9, 11, 13])
+def test_no_class_is_split(spark, every):
+    """Edited copies of passages: what brute force links stays in one class, also where the first holder's passage covers the seeds."""
+    rng = random.Random(every)
+    make = lambda n: [f"s{rng.randrange(5000)}" for _ in range(n)]
+    line, docs = make(20), []
+    for i in range(0, 160, 4):
+        p = make(rng.randint(52, 75))
+        for k in range(4):
+            q = list(p)
+            for at in range(rng.randint(4, every), len(q) - 4, every + rng.randint(0, 4)):
+                q[at] = f"edit{i}-{k}-{at}"
+            docs.append((i + k, " ".join([*make(rng.randint(0, 30)), *line * rng.randint(0, 2), *make(rng.randint(0, 9)), *q, *make(rng.randint(0, 9)), *line * rng.randint(0, 1)])))
+    links = brute_links(docs)
+    got = C.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    exact_rows(docs, got)
+    ids = [i for i, _ in docs]
+    found = classes_of(ids, {(r.doc, r.other) for r in got})
+    assert len(links) > 20 and [(i, j) for i, j in links if found[i] != found[j]] == []
+
+
+def test_equal_digits_are_not_equal_words(spark):
+    """A later holder of the whole passage is found behind an earlier one whose unequal word has the same digit."""
+    rng = random.Random(11)
+    make = lambda n: [f"r{rng.randrange(9000)}" for _ in range(n)]
+    docs, expected = [], set()
+    for i in range(0, 80, 4):
+        p = make(52)
+        twin = next(w for k in range(10**6) if C.marks_of([(w := f"twin{k}").encode()]) == C.marks_of([p[48].encode()]))
+        texts = [p[:30], [*p[:48], twin, *p[49:]], p, p]
+        docs += [(i + k, " ".join(make(30) + q + make(30))) for k, q in enumerate(texts)]
+        expected.add((i + 3, i + 2))
+    got = C.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    exact_rows(docs, got)
+    assert expected <= {(r.doc, r.other) for r in got}
