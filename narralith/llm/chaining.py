@@ -10,6 +10,8 @@
    and the seeds nearby. Hash joins on equal surroundings give the pairs that agree on ``min_words`` words, that
    agree after an edit, or that have a further seed in reach. A pair that makes a passage joins the classes of
    its places, and places of one class are not compared: rows connect them already, if not each with each.
+   A match that joined two classes and lies in no row, since its documents' chain is no passage with all their
+   matches, is chained with the matches nearby alone. A pair of places is aligned once.
 3. The matches of a pair of documents are chained in one sweep by a Fenwick tree of prefix maxima:
    a chain's score is the words its seeds cover less a cost for the gaps on both sides. Best chains
    are taken off one after the other.
@@ -29,8 +31,9 @@ other columns there are.
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import deque
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralith.llm._shared import cut, drop_cut, released
+from narralith.llm._shared import BATCH_ROWS, cut, drop_cut, released
 
-MEMO_WORDS = 300_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -60,31 +62,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+def hashes_of(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
-_words = _Words()
-
-
-class _Marks(dict):
-    def __missing__(self, word: bytes) -> str:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = self[word] = "0123456789abcdef"[xxhash.xxh64_intdigest(word, 1) & 15]
-        return found
-
-
-_marks = _Marks()
+DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 def marks_of(words: list[bytes]) -> str:
     """A hexadecimal digit for each word: equal words have equal digits."""
-    return "".join(map(_marks.__getitem__, words))
+    return DIGITS[hashes_of(words, 1) & 15].tobytes().decode()
 
 
 def seeds_of(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +80,31 @@ def seeds_of(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     n = len(words) - s.k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = hashes_of(words)
     h = np.zeros(n, np.uint64)
     for i in range(s.k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : n + i]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     span = min(s.window, n)
-    rows = np.lib.stride_tricks.sliding_window_view(h, span)
-    at = np.unique(rows.argmin(1) + np.arange(n - span + 1))
-    at = at[thinned(h[at], at, span)]
+    least = _slid(h, span, np.minimum)
+    most = _slid(np.r_[np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)], span, np.maximum)
+    at = np.flatnonzero(h == most)  # least in some window
+    if len(set(h[at].tolist())) < len(at):  # the first of equal ones in each window
+        rows = np.lib.stride_tricks.sliding_window_view(h, span)
+        at = np.unique(rows.argmin(1) + np.arange(n - span + 1))
+        at = at[thinned(h[at], at, span)]
     return h[at].view(np.int64), at
 
 
+def _slid(h: np.ndarray, span: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``span`` successive numbers."""
+    wide = 1
+    while 2 * wide <= span:
+        h, wide = of(h[:-wide], h[wide:]), 2 * wide
+    return of(h[: len(h) - (span - wide)], h[span - wide :]) if wide < span else h
+
+
 def thinned(h: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     """Which of the selected places to keep where one hash is selected again and again, as in a run of one word.
 
@@ -195,15 +194,22 @@ def chains(matches: list[tuple[int, int]], s: Settings) -> list[list[tuple[int,
 
 
 def edits(a: list, b: list) -> int:
-    """Edit distance of two word lists."""
+    """Edit distance of two word lists: a column of the table at a time, as bits of its steps up and down."""
     if not a or not b:
         return len(a) + len(b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    top, up, down, out = 1 << len(a) - 1, every, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(diagonal | up)), up & diagonal
+        out += bool(more & top) - bool(less & top)
+        more = more << 1 | 1
+        up, down = ((less << 1) | (every & ~(diagonal | more))) & every, more & diagonal
+    return out
 
 
 def grow(a: list, b: list, s: Settings, agree: int = 8) -> tuple[int, int, int]:
@@ -341,9 +347,12 @@ def _with_words(chained: DataFrame, texts: DataFrame, side: str, places: str, na
     return joined.mapInArrow(released(run), schema)
 
 
-def _aligned(matches: DataFrame, texts: DataFrame, s: Settings, id_type) -> DataFrame:
-    """The passages around the chains of ``matches`` (doc, other, x, y)."""
-    chained = cut(_pairs(matches, s, id_type))
+def _aligned(chained: DataFrame, texts: DataFrame, s: Settings, id_type, part: bool = False) -> DataFrame:
+    """The passages around chains (doc, other, xs, ys, narrow); ``part``: those of few documents, whose texts are set apart first."""
+    chained = cut(chained)
+    if part:
+        ids = cut(chained.select(F.col("doc").alias("id")).union(chained.select("other")).distinct())
+        texts = cut(texts.join(ids, "id", "left_semi"))
     mine = cut(_with_words(chained, texts, "doc", "xs", "mine", s, sketch=True))
     theirs = cut(_with_words(mine, texts, "other", "ys", "theirs", s, sketch=True))
     drop_cut(chained)
@@ -403,6 +412,7 @@ class Places:
     """
 
     AGREE = 8  # words that agree after an edit, as in ``grow``
+    TRIED = 1 << 20  # pairs remembered, so as not to be aligned again
 
     def __init__(self, h, doc, linked, around, room, near, offsets, s: Settings):
         self.s, self.n, self.h, self.doc = s, len(h), h, doc
@@ -420,6 +430,7 @@ class Places:
             self.prefix[side, 0] = mixed(h.view(np.uint64), np.zeros(1, np.uint32))
             for d in range(reach):
                 self.prefix[side, d + 1] = mixed(self.prefix[side, d], around[:, side, d])
+        self.tried: set[int] = set()
 
     def of(self, i: int) -> int:
         while self.cls[i] != i:
@@ -427,7 +438,10 @@ class Places:
         return i
 
     def classes(self) -> np.ndarray:
-        return np.fromiter(map(self.of, range(self.n)), np.int64, self.n)
+        out = np.array(self.cls, np.int64)
+        while (out != (top := out[out])).any():
+            out = top
+        return out
 
     def join(self, i: int, j: int) -> bool:
         """Whether the classes were two; they are one after."""
@@ -435,18 +449,36 @@ class Places:
         self.cls[max(i, j)] = min(i, j)
         return i != j
 
+    def again(self, i: int, j: int) -> bool:
+        """Whether the pair has been here before, as far as remembered: what is near two places decides alike each time."""
+        pair = i * self.n + j
+        if pair in self.tried:
+            return True
+        if len(self.tried) >= self.TRIED:
+            self.tried.clear()
+        self.tried.add(pair)
+        return False
+
     def links(self):
-        """(i, j, dx, dy): places i < j whose documents share a passage or might, as matches at dx and dy from them."""
-        yield from self.whole()
+        """(i, j, dx, dy, sure): places i < j whose documents share a passage (``sure``, of the match at 0, 0) or might, as matches at dx and dy from them."""
+        for i, j in self.whole():
+            yield i, j, 0, 0, True
         for i, j in self.edited():
-            if self.of(i) != self.of(j):
+            if self.of(i) != self.of(j) and not self.again(i, j):
                 if self.grows(i, j):
                     self.join(i, j)
-                    yield i, j, 0, 0
+                    yield i, j, 0, 0, True
                 else:
-                    yield from self.chained(i, j)
+                    yield from self.marked(i, j)
         for i, j in self.apart():
-            yield from self.chained(i, j)
+            if self.of(i) != self.of(j) and not self.again(i, j):
+                yield from self.marked(i, j)
+
+    def marked(self, i: int, j: int):
+        out = self.chained(i, j)
+        joined = self.of(i) == self.of(j)
+        for _, _, dx, dy in out:
+            yield i, j, dx, dy, joined and dx == dy == 0
 
     def chained(self, i: int, j: int) -> list[tuple[int, int, int, int]]:
         """The matches of the seed and those nearby if their chain makes a passage, or if that is not to be seen from the words here."""
@@ -489,7 +521,7 @@ class Places:
                 for j in group[1:]:
                     i = group[0] if self.doc[j] != self.doc[group[0]] else group[other[0]]
                     if self.join(i, j):
-                        yield min(i, j), max(i, j), 0, 0
+                        yield min(i, j), max(i, j)
 
     def edited(self):
         """Pairs of classes' places that agree on eight words after an edit, next to where their agreement ends."""
@@ -559,11 +591,11 @@ class Places:
         c <= t l + t/2 (A + A') + t/2 (first A + last A) / (number of gaps): that gap is enough to find the pair.
         """
         s, t = self.s, 1 - self.s.identity
-        most, k = s.min_words - 1, s.k
+        most = s.min_words - 1
         farthest = int(t * s.flank + 2 * t * most)
-        cls = self.classes()
         for side in (0, 1):
             mine = np.flatnonzero((self.offset > 0) if side else (self.offset < 0))
+            sums = self.sums(side)
             i, o = self.owner[mine], np.abs(self.offset[mine])
             key = mixed(self.h[i].view(np.uint64), np.zeros(1, np.uint32)) ^ mixed(self.near[mine].view(np.uint64), np.full(1, side + 1, np.uint32))
             again = repeated(key)
@@ -571,7 +603,7 @@ class Places:
             if not len(i):
                 continue
             # the same offset and the same words up to it: the seed lies where they agree
-            path = self.prefix[side, np.clip(o - k, 0, s.flank - k), i]
+            path = self.prefix[side, np.clip(o - s.k, 0, s.flank - s.k), i]
             order = np.lexsort((path, o, key))
             i, o, key, path = i[order], o[order], key[order], path[order]
             at = np.arange(len(i))
@@ -590,49 +622,75 @@ class Places:
                     part = size[start:stop] if stop > start + 1 else np.minimum(size[start:stop] - low, 1 << 17)
                     a = np.repeat(at[start:stop], part)
                     b = lo[a] + np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + low
+                    cls = self.classes()
                     good = (cls[i[a]] != cls[i[b]]) & (self.doc[i[a]] != self.doc[i[b]])
                     a, b = a[good], b[good]
-                    run = [self.run(i[a], i[b], z) for z in (side, 1 - side)]
-                    gap_a, gap_b = o[a] - k - run[0], o[b] - k - run[0]
-                    gap = np.maximum(gap_a, gap_b)
-                    room = t / 2 * (run[0] + run[1] + k + most)
-                    good = (o[a] > run[0]) & (o[b] > run[0]) & (np.abs(o[a] - o[b]) <= t * gap + np.maximum(2 * room, room + t / 2 * most) + 1e-9)
-                    for x, y, ox, oy, r, r1 in zip(*(v[good].tolist() for v in (i[a], i[b], o[a], o[b], run[0], run[1]))):
-                        if self.of(x) != self.of(y) and self.near_enough(x, y, ox - k, oy - k, r, r + r1 + k, side):
-                            yield min(x, y), max(x, y)
+                    for at_ in range(0, len(a), 1 << 14):
+                        yield from self.close(i, o, a[at_ : at_ + (1 << 14)], b[at_ : at_ + (1 << 14)], side, sums)
                 start = stop
 
+    def sums(self, side: int) -> np.ndarray:
+        """How many of the words up to each have each of 32 values of their hash: a byte for each value, eight in a number."""
+        w = self.words[:, side]
+        out = np.zeros((self.n, w.shape[1] + 1, 4), np.uint64)
+        byte = np.uint64(1) << ((w & 7).astype(np.uint64) << np.uint64(3))
+        for part in range(4):
+            np.cumsum(np.where((w >> 3) & 3 == part, byte, np.uint64(0)), axis=1, out=out[:, 1:, part])
+        return out
+
     def run(self, i: np.ndarray, j: np.ndarray, side: int) -> np.ndarray:
         """Words that agree from the seeds on."""
-        same = np.concatenate([self.words[i, side] == self.words[j, side], np.zeros((len(i), 1), bool)], axis=1)
-        return np.minimum(same.argmin(1), np.minimum(self.room[i, side], self.room[j, side]))
-
-    def near_enough(self, i: int, j: int, x: int, y: int, run: int, whole: int, side: int) -> bool:
-        """Whether the gap from the run to the next seeds, at words x and y from here, costs no more than a passage allows."""
+        low, high = np.zeros(len(i), np.int64), np.minimum(self.room[i, side], self.room[j, side]).astype(np.int64)
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
+            same = self.prefix[side, mid, i] == self.prefix[side, mid, j]
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    def close(self, i: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, side: int, sums: np.ndarray):
+        """Of pairs of seeds nearby, a and b, those where the gap from the run to them costs no more than a passage allows: their places."""
         s, t = self.s, 1 - self.s.identity
-        a, b = self.words[i, side, : self.room[i, side]].tolist(), self.words[j, side, : self.room[j, side]].tolist()
-        far_a, far_b = x + s.k, y + s.k
-        n = 0
-        while far_a + n < len(a) and far_b + n < len(b) and a[far_a + n] == b[far_b + n]:
-            n += 1
-        back = 0
-        while min(x, y) - back > run and a[x - back - 1 : x - back] == b[y - back - 1 : y - back] != []:
-            back += 1
-        ends = far_a + n >= self.words.shape[2] or far_b + n >= self.words.shape[2]
-        next_ = s.min_words - 1 if ends else min(s.k + n + back, s.min_words - 1)
-        room = t / 2 * (whole + next_)
-        most = t * max(x - run, y - run, 0) + max(2 * room, room + t / 2 * (s.min_words - 1)) + 1e-9
-        gap_a, gap_b = a[run : max(x, run)], b[run : max(y, run)]
-        kept = Counter(gap_a)
-        kept.subtract(gap_b)
-        if max(sum(v for v in kept.values() if v > 0), -sum(v for v in kept.values() if v < 0)) > most:
-            return False
-        return edits(gap_a, gap_b) <= most
+        most, k, reach = s.min_words - 1, s.k, self.words.shape[2]
+        i, j, x, y = i[a], i[b], o[a] - k, o[b] - k
+        run, other = self.run(i, j, side), self.run(i, j, 1 - side)
+
+        def keep(good):
+            nonlocal i, j, x, y, run, other
+            i, j, x, y, run, other = i[good], j[good], x[good], y[good], run[good], other[good]
+
+        room = t / 2 * (run + other + k + most)
+        gap = np.maximum(x, y) - run
+        keep((x + k > run) & (y + k > run) & (np.abs(x - y) <= t * gap + np.maximum(2 * room, room + t / 2 * most) + 1e-9))
+        if not len(i):
+            return
+        w, there = self.words[:, side], self.room[:, side]
+        step = np.arange(most - k)
+        # words that agree after the seeds nearby, and before them down to the run
+        p, q = (x + k)[:, None] + step, (y + k)[:, None] + step
+        same = (p < there[i][:, None]) & (q < there[j][:, None])
+        same &= w[i[:, None], np.minimum(p, reach - 1)] == w[j[:, None], np.minimum(q, reach - 1)]
+        after = np.where(same.all(1), len(step), same.argmin(1))
+        p, q = (x - 1)[:, None] - step, (y - 1)[:, None] - step
+        same = np.minimum(p, q) >= run[:, None]
+        same &= w[i[:, None], np.maximum(p, 0)] == w[j[:, None], np.maximum(q, 0)]
+        before = np.where(same.all(1), len(step), same.argmin(1))
+        ends = np.maximum(x, y) + k + after >= reach
+        room = t / 2 * (run + other + k + np.where(ends, most, np.minimum(k + after + before, most)))
+        cost = t * np.maximum(np.maximum(x, y) - run, 0) + np.maximum(2 * room, room + t / 2 * most) + 1e-9
+        # words of either gap that the other has not: no fewer than these
+        in_a, in_b = (np.ascontiguousarray(sums[v, np.maximum(z, run)] - sums[v, run]).view(np.uint8).astype(np.int16) for v, z in ((i, x), (j, y)))
+        more = np.maximum(in_a - in_b, 0).sum(1)
+        least = np.maximum(more, more - in_a.sum(1) + in_b.sum(1))
+        good = least <= cost
+        for p, q, x, y, r, c in zip(*(v[good].tolist() for v in (i, j, x, y, run, cost))):
+            pair = (p, q) if p < q else (q, p)
+            if self.of(p) != self.of(q) and pair[0] * self.n + pair[1] not in self.tried and edits(w[p, r : max(x, r)].tolist(), w[q, r : max(y, r)].tolist()) <= c:
+                yield pair
 
 
 def reach_of(s: Settings) -> int:
-    """Words on each side of a seed that decide whether growth comes to ``min_words``."""
-    return s.min_words + 2 * s.k
+    """Words on each side of a seed that decide whether growth comes to ``min_words``, and that hold the seeds nearby."""
+    return max(s.min_words + 2 * s.k, s.flank)
 
 
 def _with_surroundings(occurrences: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -644,25 +702,43 @@ def _with_surroundings(occurrences: DataFrame, texts: DataFrame, s: Settings) ->
     schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["id"], T.StructField("x", T.IntegerType()), T.StructField("linked", T.BooleanType()), T.StructField("around", T.BinaryType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("near", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
     schema = T.StructType([T.StructField("doc", f.dataType) if f.name == "id" else f for f in schema])
 
+    def binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
     def run(batches):
         for b in batches:
-            for doc, text, of in zip(b.column(0), b.column(1), b.column(2)):
-                words = words_of(text.as_py())
+            of, text = b.column(2), b.column(1)
+            edge = of.offsets.to_numpy()
+            every = {c: of.values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "x", "linked", "open")}
+            held, count = [], 0
+            for row in range(b.num_rows):
+                words = words_of(text[row].as_py())
                 marks = np.zeros(len(words) + 2 * reach, np.uint32)
-                marks[reach : reach + len(words)] = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).astype(np.uint32)
-                h, at, linked, open_ = (of.values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "x", "linked", "open"))
+                marks[reach : reach + len(words)] = hashes_of(words).astype(np.uint32)
+                h, at, linked, open_ = (every[c][edge[row] : edge[row + 1]] for c in ("h", "x", "linked", "open"))
+                at = at.astype(np.int64)
                 places = np.flatnonzero(open_)
-                for lo in range(0, len(places), 4096):
-                    part = places[lo : lo + 4096]
-                    out = []
-                    for x in at[part].tolist():
-                        a, z = np.searchsorted(at, [x - s.flank, x + s.flank + 1])
-                        near, offsets = h[a:z], (at[a:z] - x).astype(np.int16)
-                        mid = x + reach
-                        out.append((marks[mid - reach : mid][::-1].tobytes() + marks[mid + s.k : mid + s.k + reach].tobytes(), min(x, reach), min(max(len(words) - x - s.k, 0), reach), near[offsets != 0].tobytes(), offsets[offsets != 0].tobytes()))
-                    columns = [pa.array(h[part]), pa.array([doc.as_py()] * len(part), b.column(0).type), pa.array(at[part], pa.int32()), pa.array(linked[part])]
-                    columns += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                for lo in range(0, len(places), BATCH_ROWS):
+                    part = places[lo : lo + BATCH_ROWS]
+                    x = at[part]
+                    a, z = np.searchsorted(at, x - s.flank), np.searchsorted(at, x + s.flank, side="right")
+                    near = np.arange((z - a).sum()) + np.repeat(a - np.r_[0, np.cumsum(z - a)[:-1]], z - a)
+                    offset = at[near] - np.repeat(x, z - a)
+                    size = np.add.reduceat(offset != 0, np.r_[0, np.cumsum(z - a)[:-1]])
+                    held.append((h[part], np.full(len(part), row), x, linked[part], marks[(x + reach)[:, None] + outward], np.minimum(x, reach), np.clip(len(words) - x - s.k, 0, reach), size, h[near[offset != 0]], offset[offset != 0].astype(np.int16)))
+                    count += len(part)
+                    if count >= BATCH_ROWS:
+                        yield table(b.column(0), held)
+                        held, count = [], 0
+            if held:
+                yield table(b.column(0), held)
+
+    outward = np.r_[-1 - np.arange(reach), s.k + np.arange(reach)]
+
+    def table(docs, held):
+        h, row, x, linked, around, left, right, size, near, offset = (np.concatenate(c) for c in zip(*held))
+        columns = [pa.array(h), docs.take(pa.array(row)), pa.array(x.astype(np.int32)), pa.array(linked), binary(around, np.full(len(h), 8 * reach)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), binary(near, 8 * size), binary(offset, 2 * size)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(released(run), schema)
 
@@ -679,26 +755,26 @@ def uncovered_matches(again: DataFrame, found: DataFrame, texts: DataFrame, s: S
     drop_cut(marked)
     order = ["h", "doc", "x"]
     dealt = places.repartition("h").sortWithinPartitions(*order)
-    schema = T.StructType([T.StructField("doc", id_type), T.StructField("other", id_type), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc", id_type), T.StructField("other", id_type), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("sure", T.BooleanType())])
 
     def found_in(table: pa.Table):
         col = {c: table.column(c).combine_chunks() for c in table.column_names}
         n = len(table)
-        codes = col["doc"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        x = col["x"].to_numpy()
+        coded = col["doc"].dictionary_encode()
+        ids, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        codes_, x_ = codes.tolist(), col["x"].to_pylist()
         around = np.frombuffer(b"".join(col["around"].to_pylist()), np.uint32).reshape(n, 2, reach_of(s))
         group = Places(col["h"].to_numpy(), codes, col["linked"].to_numpy(zero_copy_only=False), around, np.stack([col["left"].to_numpy(), col["right"].to_numpy()], axis=1), col["near"].to_pylist(), col["offsets"].to_pylist(), s)
         rows: set = set()
 
         def batch():
-            got = np.array(sorted(rows), np.int64).reshape(-1, 4)
+            got = np.array(sorted(rows), np.int64).reshape(-1, 5)
             rows.clear()
-            i, j = got[:, 0], got[:, 1]
-            return pa.RecordBatch.from_arrays([col["doc"].take(pa.array(j)), col["doc"].take(pa.array(i)), pa.array((x[j] + got[:, 3]).astype(np.int32)), pa.array((x[i] + got[:, 2]).astype(np.int32))], names=schema.names)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(got[:, 0])), ids.take(pa.array(got[:, 1])), pa.array(got[:, 2].astype(np.int32)), pa.array(got[:, 3].astype(np.int32)), pa.array(got[:, 4].astype(bool))], names=schema.names)
 
-        for row in group.links():
-            rows.add(row)
-            if len(rows) == 65536:
+        for i, j, dx, dy, sure in group.links():
+            rows.add((codes_[j], codes_[i], x_[j] + dy, x_[i] + dx, sure))
+            if len(rows) == 262144:
                 yield batch()
         if rows:
             yield batch()
@@ -721,12 +797,36 @@ def uncovered_matches(again: DataFrame, found: DataFrame, texts: DataFrame, s: S
         if held:
             yield from found_in(pa.Table.from_batches(held))
 
-    matches = cut(dealt.mapInArrow(released(run), schema).distinct())
+    matches = cut(dealt.mapInArrow(released(run), schema).groupBy("doc", "other", "x", "y").agg(F.max("sure").alias("sure")))
     drop_cut(places)
-    known = matches.join(found.select("doc", "other", "start", "end", "other_start", "other_end"), ["doc", "other"]).where((F.col("x") >= F.col("start")) & (F.col("x") + s.k <= F.col("end")) & (F.col("y") >= F.col("other_start")) & (F.col("y") + s.k <= F.col("other_end")))
+    return _not_in(matches, found, s)
+
+
+def _not_in(matches: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """The matches that no passage of ``found`` with the same documents holds."""
+    spans = found.select("doc", "other", "start", "end", "other_start", "other_end")
+    known = matches.join(spans, ["doc", "other"]).where((F.col("x") >= F.col("start")) & (F.col("x") + s.k <= F.col("end")) & (F.col("y") >= F.col("other_start")) & (F.col("y") + s.k <= F.col("other_end")))
     return matches.join(known.select("doc", "other", "x", "y").distinct(), ["doc", "other", "x", "y"], "left_anti")
 
 
+def _chain_of_each(sure: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
+    """(doc, other, chain, narrow): for each match of ``sure`` its chain with the matches nearby alone, as its places were joined by it."""
+    one = sure.select("doc", "other", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    close = one.join(matches.select("doc", "other", "x", "y"), ["doc", "other"]).where((F.abs(dx) <= s.flank) & (F.abs(dy) <= s.flank) & ((dx * dy > 0) | ((dx == 0) & (dy == 0))))
+    lists = close.groupBy("doc", "other", "x0", "y0").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    schema = T.StructType([*lists.select("doc", "other", "xs", "ys").schema, T.StructField("narrow", T.BooleanType())])
+
+    def run(batches):
+        for b in batches:
+            col = {c: b.column(c).to_pylist() for c in ("x0", "y0", "xs", "ys")}
+            got = [next((c for c in chains(list(zip(xs, ys)), s) if (x, y) in c), [(x, y)]) for x, y, xs, ys in zip(*col.values())]
+            narrow = [min(c[-1][0] - c[0][0], c[-1][1] - c[0][1]) + s.k < 2 * s.k for c in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[x for x, _ in c] for c in got], pa.list_(pa.int32())), pa.array([[y for _, y in c] for c in got], pa.list_(pa.int32())), pa.array(narrow, pa.bool_())], names=schema.names)
+
+    return lists.mapInArrow(released(run), schema)
+
+
 def single_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text): of rows that share an id the least text; rows without id are left out."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -754,6 +854,11 @@ def passages(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
     first = every.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("p"), F.count("*").alias("c")).where("c > 1")
     again = cut(every.join(first, "h").select("h", "doc", "x", F.col("p.doc").alias("other"), F.col("p.x").alias("y")))
     drop_cut(every)
-    found = cut(_aligned(again.where("doc <> other").select("doc", "other", "x", "y"), texts, s, id_type))
-    rest = uncovered_matches(again, found, texts, s, id_type)
-    return found.unionByName(_aligned(rest, texts, s, id_type)).distinct()
+    found = cut(_aligned(_pairs(again.where("doc <> other").select("doc", "other", "x", "y"), s, id_type), texts, s, id_type))
+    rest = cut(uncovered_matches(again, found, texts, s, id_type))
+    more = cut(_aligned(_pairs(rest, s, id_type), texts, s, id_type, part=True))
+    # a match that joined two classes is in a row, if need be without the pair's other matches
+    bare = cut(_not_in(rest.where("sure"), more, s))
+    if not bare.isEmpty():
+        more = more.unionByName(_aligned(_chain_of_each(bare, rest, s), texts, s, id_type, part=True))
+    return found.unionByName(more).distinct()

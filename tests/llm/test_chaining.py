@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from narralith.llm import chaining as C
@@ -252,3 +253,24 @@ def test_equal_digits_are_not_equal_words(spark):
     got = C.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     exact_rows(docs, got)
     assert expected <= {(r.doc, r.other) for r in got}
+
+
+def test_a_pair_of_places_is_aligned_once():
+    """Places with three more common seeds nearby, too far edited for a passage: each pair is compared once, not once a seed."""
+    rng = random.Random(13)
+    seeds = [rng.randrange(1, 2**62) for _ in range(4)]
+    n, reach = 12, C.reach_of(S)
+    around = np.array([[rng.randrange(2**32) for _ in range(2 * reach)] for _ in range(n)], np.uint32).reshape(n, 2, reach)
+    common = [rng.randrange(2**32) for _ in range(reach)]
+    offsets = (12, 22, 32)
+    for i in range(n):
+        for o in offsets:  # words of a seed nearby, and a few before it
+            around[i, 1, o - S.k - 2 : o] = common[o - S.k - 2 : o]
+    near = [np.array(seeds[1:], np.int64).tobytes()] * n
+    at = [np.array(offsets, np.int16).tobytes()] * n
+    places = C.Places(np.full(n, seeds[0], np.int64), np.arange(n), np.zeros(n, bool), around, np.full((n, 2), reach), near, at, S)
+    seen = []
+    once = places.chained
+    places.chained = lambda i, j: (seen.append((i, j)), once(i, j))[1]
+    list(places.links())
+    assert seen and len(seen) == len(set(seen))
