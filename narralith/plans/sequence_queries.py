@@ -129,9 +129,11 @@ def tumbling_windows(spark, d):
 @register(f"""WITH {E}, g AS (SELECT *, CASE WHEN sec - lag(sec) OVER o < 1800 THEN 0 ELSE 1 END AS fresh FROM e WINDOW o AS (PARTITION BY user_id ORDER BY sec, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS sid FROM g)
  SELECT user_id, min(sec) AS start, max(sec) + 1800 AS stop, count(*) AS n FROM s GROUP BY user_id, sid""")
 def session_runs(spark, d):
-    e = events(spark, d).withColumn("t", F.timestamp_seconds("at"))
-    s = e.groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return s.select("user_id", F.unix_seconds("w.start").alias("start"), F.unix_seconds("w.end").alias("stop"), "n")
+    """A pause of exactly the gap starts a new run; a session window would join the two."""
+    o = W.partitionBy("user_id").orderBy("at", "event_id")
+    e = events(spark, d).withColumn("fresh", F.when(F.col("at") - F.lag("at").over(o) < 1800, 0).otherwise(1))
+    s = e.withColumn("sid", F.sum("fresh").over(o)).groupBy("user_id", "sid").agg(F.min("at").alias("start"), (F.max("at") + 1800).alias("stop"), F.count("*").alias("n"))
+    return s.select("user_id", "start", "stop", "n")
 
 
 @register("SELECT event_type, CAST(year(ts) AS BIGINT) AS y, count(*) AS n, grouping(event_type) AS g FROM events GROUP BY ROLLUP (event_type, CAST(year(ts) AS BIGINT))".replace("grouping(event_type) AS g", "CAST(grouping(event_type) AS BIGINT) AS g"))
