@@ -92,15 +92,9 @@ def _edit_similarity(part):
 @register("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, (list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) + 1) / 2 AS s FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rn FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity FROM r WHERE rn <= 5""")
 def cosine_topk(spark, d):
-    from pyspark.sql import Window as W
-
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    q = F.broadcast(q) if q.count() <= 2000 else q  # the stated query set, against all rows
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("s", T.cosine01(F.col("q"), F.col("embedding")))
-    part = s.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("rn", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(F.desc(F.round("s", 9)), "vec_id"))).where("rn <= 5")
-    best = part.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "vec_id"))).where("rn <= 5")
-    return best.select("query_id", "vec_id", F.round("s", 6).alias("similarity"))
+    return names.nearest(e, q, 5).select("query_id", "vec_id", F.round("s", 6).alias("similarity"))
 
 
 CHAINS = [["محمد بن يحيا", "احمد بن محمد بن عيسا", "ابي عبد الله"], ["محمد بن يحيا", "علي بن ابراهيم", "ابي عبد الله"], ["حرب بن الحسين", "ابراهيم الشيباني", "ابي الجارود"], ["محمد بن يحيا", "احمد بن محمد", "علي بن ابراهيم بن هاشم"]]
