@@ -82,6 +82,31 @@ def with_tokens(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, (F.row_number().over(order) - 1).alias("tok_idx"), "word", (F.col("end") - F.length("word")).alias("start"), "end")
 
 
+WORD_CHAR = f"[^{SPACES}{PUNCTUATION.replace('-', chr(92) + '-')}]"
+#: One punctuation mark. As in the words of :func:`count_tokens`, letters are told first, since most characters are.
+MARK = f"[[^a-z ]&&[{PUNCTUATION.replace('-', chr(92) + '-')}]]"
+#: A token of ASCII digits only.
+DIGITS = f"(?=[0-9])(?<!{WORD_CHAR})[0-9]++(?!{WORD_CHAR})"
+
+
+def count_tokens(text: Column) -> Column:
+    """The number of :func:`tokens_of` without making them."""
+    return F.regexp_count(text, F.lit(f"{MARK}|[a-z{WORD_CHAR}]++"))
+
+
+def numbers_before(df: DataFrame, text_col: str, mark: str, keys: list[str]) -> DataFrame:
+    """(keys, tok_idx, word): tokens of digits that the one-character token ``mark`` follows.
+
+    Only these are rows: their places among the tokens are sums over the counts of the pieces between them.
+    """
+    pattern = f"{DIGITS}[{SPACES}]*+[{mark}]"
+    df = df.withColumn("__row", F.monotonically_increasing_id()).where(F.col(text_col).rlike(pattern))
+    df = df.select("__row", *keys, F.regexp_extract_all(text_col, F.lit(f"({pattern})"), F.lit(0)).alias("__m"), F.split(text_col, pattern, -1).alias("__between"))
+    df = df.select("__row", *keys, F.posexplode(F.arrays_zip(F.col("__m").alias("match"), F.col("__between").alias("gap"))).alias("__part", "g")).where("g.match is not null")
+    before = F.sum(count_tokens(F.col("g.gap"))).over(W.partitionBy("__row").orderBy("__part")) + 2 * F.col("__part")
+    return df.select(*keys, before.cast("long").alias("tok_idx"), F.regexp_extract("g.match", "^[0-9]+", 0).alias("word"))
+
+
 def is_punctuation(word: Column) -> Column:
     return (F.length(word) == 1) & F.lit(PUNCTUATION).contains(word)
 
@@ -133,6 +158,15 @@ def regex_spans(df: DataFrame, text_col: str, pattern: str, keys: list[str]) ->
     return df.select(*keys, before.cast("int").alias("pos"), "g.match")
 
 
+def words_inside(text: Column, s: Column, e: Column) -> Column:
+    """:func:`words_between` of one span of the row's own text, in one pass over it: a word starts where a delimiter is followed by none."""
+    gap = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in DELIMITERS) + "]"
+    lead = F.when(s < 0, F.lit(" ")).otherwise(F.lit(""))  # the text's first character has none before it
+    inside = F.concat(lead, F.substring(text, F.greatest(s, F.lit(0)).cast("int") + 1, (e - F.greatest(s, F.lit(0))).cast("int")))
+    starts = F.regexp_count(inside, F.lit(f"{gap}[^{gap[1:]}"))
+    return F.when(s < e, 1 + F.coalesce(starts, F.lit(0))).otherwise(0).cast("bigint")
+
+
 def words_between(starts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``n_words`` to spans (keys, s, e): 1 and the word starts inside, 0 for an empty span.
 

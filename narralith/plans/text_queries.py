@@ -52,9 +52,10 @@ def normalize_arabic(spark, d):
 @register(f"""WITH w AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents)
  SELECT doc_id, count(*) AS tokens, count(*) FILTER (length(word) = 1 AND contains('{T.PUNCTUATION}', word)) AS puncts, count(*) FILTER (regexp_full_match(word, '[0-9]+')) AS numbers FROM w GROUP BY doc_id""")
 def token_stats(spark, d):
-    df = table(spark, d, "documents").select("doc_id", T.tokens_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    count = lambda f: F.size(F.filter("w", f)).cast("long")
-    return df.select("doc_id", F.size("w").cast("long").alias("tokens"), count(T.is_punctuation).alias("puncts"), count(lambda w: w.rlike("^[0-9]+$")).alias("numbers"))
+    text = F.col("text")
+    counts = [T.count_tokens(text).alias("tokens"), F.regexp_count(text, F.lit(T.MARK)).alias("puncts"), F.regexp_count(text, F.lit(T.DIGITS)).alias("numbers")]
+    df = table(spark, d, "documents").select("doc_id", *counts)
+    return df.where("tokens > 0").groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "puncts", "numbers")])
 
 
 @register(f"""WITH p AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{SPACE}+|{TOKEN}')) AS word, generate_subscripts(regexp_extract_all(text, '{SPACE}+|{TOKEN}'), 1) AS i FROM conversations),
@@ -157,9 +158,8 @@ def candidate_promotion(spark, d):
 @register(f"""WITH w AS (SELECT doc_id, unnest({TOKENS}) AS word, generate_subscripts({TOKENS}, 1) AS i FROM documents),
  n AS (SELECT doc_id, i, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM w) SELECT doc_id, i - 1 AS tok_idx, word AS number FROM n WHERE regexp_full_match(word, '[0-9]+') AND nxt = '-'""")
 def paragraph_delims(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(T.tokens_of(F.col("text"))).alias("i", "word"))
-    df = df.withColumn("nxt", F.lead("word").over(W.partitionBy("doc_id").orderBy("i")))
-    return df.where(F.col("word").rlike("^[0-9]+$") & (F.col("nxt") == "-")).select("doc_id", F.col("i").cast("long").alias("tok_idx"), F.col("word").alias("number"))
+    found = T.numbers_before(table(spark, d, "documents").select("doc_id", "text"), "text", "-", ["doc_id"])
+    return found.select("doc_id", "tok_idx", F.col("word").alias("number"))
 
 
 @register("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]+)[ \\t\\n]*-', 0)) AS m, generate_subscripts(regexp_extract_all(text, '([0-9]+)[ \\t\\n]*-', 0), 1) AS i FROM documents)
