@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,9 +36,10 @@ def cluster_agreement(gold: DataFrame, predicted: DataFrame, detected_only: bool
     return cell.agg(total.alias("items"), r.alias("recall"), p.alias("precision")).select("*", F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")).alias("f_score"))
 
 
-def pair_scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts, recall, precision and F of (equal, predicted); pairs without a label do not count."""
-    n = pairs.where("equal is not null").groupBy(*(by or [])).agg(*[F.count_if(c).alias(a) for a, c in (("tp", F.col("equal") & F.col("predicted")), ("fp", ~F.col("equal") & F.col("predicted")), ("fn", F.col("equal") & ~F.col("predicted")), ("tn", ~F.col("equal") & ~F.col("predicted")))])
+def pair_scores(pairs: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Counts, recall, precision and F of (equal, predicted); pairs without a label do not count. A row counts ``weight`` times."""
+    count = (lambda c: F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0)).cast("long")) if weight else F.count_if
+    n = pairs.where("equal is not null").groupBy(*(by or [])).agg(*[count(c).alias(a) for a, c in (("tp", F.col("equal") & F.col("predicted")), ("fp", ~F.col("equal") & F.col("predicted")), ("fn", F.col("equal") & ~F.col("predicted")), ("tn", ~F.col("equal") & ~F.col("predicted")))])
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
     n = n.withColumn("recall", ratio("tp", "fn")).withColumn("precision", ratio("tp", "fp"))
     return n.withColumn("f_score", F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0)))
@@ -53,10 +55,92 @@ def occurrence_labels(occurrences: DataFrame, chain: str, position: str, person:
     return occurrences.select(F.concat_ws("#", F.col(chain).cast("string"), F.col(position).cast("string")).alias("item"), F.col(person).alias("label"))
 
 
-def sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
+def sweep(scored: DataFrame, thresholds: list[float], weight: str | None = None) -> DataFrame:
     """:func:`pair_scores` of (equal, score) at each threshold."""
-    rows = scored.select("equal", "score", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    return pair_scores(rows.withColumn("predicted", F.col("score") > F.col("threshold")), ["threshold"])
+    rows = scored.select("equal", "score", *([weight] if weight else []), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    return pair_scores(rows.withColumn("predicted", F.col("score") > F.col("threshold")), ["threshold"], weight)
+
+
+def _forms(items: DataFrame, by: list[str]) -> DataFrame:
+    return items.groupBy(*by, "name", "label").agg(F.count("*").alias("n"))
+
+
+def form_pairs(items: DataFrame, score) -> DataFrame:
+    """(group, na, la, nb, lb, equal, score, weight): pairs of the forms (name, label) of a group; ``weight`` pairs of items have them.
+
+    Pairs of items (group, key, name, label) of one group with different keys are meant, each once; what depends on
+    name and label only is worked out once for all items that share these. Items that share a key are taken off by
+    rows of a negative weight.
+    """
+    shared = items.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    whole, twice = _forms(items, ["group"]).withColumn("key", F.lit(None).cast(items.schema["key"].dataType)).withColumn("sign", F.lit(1)), _forms(items.join(shared, "key", "left_semi"), ["group", "key"]).withColumn("sign", F.lit(-1))
+    forms = whole.unionByName(twice).withColumn("form", F.struct("name", "label"))
+    side = lambda x: forms.select("group", "key", "sign", F.col("form").alias(f"f{x}"), F.col("n").alias(f"n{x}"))
+    a, b = side("a"), side("b").withColumnRenamed("key", "other").withColumnRenamed("sign", "sign_b")
+    both = a.join(b, (a["group"] == b["group"]) & (a.sign == b.sign_b) & F.col("key").eqNullSafe(F.col("other"))).where("fa <= fb").drop(b["group"])
+    weight = F.col("sign") * F.when(F.col("fa") == F.col("fb"), F.expr("na * (na - 1) div 2")).otherwise(F.expr("na * nb"))
+    both = both.select("group", "fa", "fb", weight.cast("long").alias("weight")).where("weight <> 0")
+    names = both.select("group", F.col("fa.name").alias("na"), F.col("fa.label").alias("la"), F.col("fb.name").alias("nb"), F.col("fb.label").alias("lb"), "weight")
+    return names.withColumn("equal", F.col("la") == F.col("lb")).withColumn("score", score(F.col("na"), F.col("nb")))
+
+
+def form_errors(items: DataFrame, judged: DataFrame) -> DataFrame:
+    """:func:`pair_errors` of the items of judged :func:`form_pairs`; only pairs that were judged wrongly become rows."""
+    wrong = judged.where("equal <> predicted and weight > 0").select("group", "na", "la", "nb", "lb", F.when(F.col("equal"), "missed").otherwise("false").alias("kind"))
+    x = items.select("group", F.col("key").alias("x"), F.col("name").alias("na"), F.col("label").alias("la"))
+    y = items.select("group", F.col("key").alias("y"), F.col("name").alias("nb"), F.col("label").alias("lb"))
+    pairs = wrong.join(x, ["group", "na", "la"]).join(y, ["group", "nb", "lb"]).where("x <> y and not (na = nb and la = lb and x > y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind")
+
+
+def band_sample_of_forms(items: DataFrame, score, bands: int, most: int) -> DataFrame:
+    """:func:`band_sample` of all pairs of items (group, key, name, label) with a < b, without making them.
+
+    The pairs of each key and band are counted by the forms of its group; running sums over the keys tell which keys
+    have the pairs to take, and only theirs are made.
+    """
+    from narralith.operators.graph import cut
+
+    items = cut(items.select("group", "key", "name"))
+    per = max(1, most // bands)
+    band = F.when((F.col("score") < 1) & (F.col("score") >= 0), F.floor(F.col("score") * bands).cast("int"))
+    forms = items.select("group", "name").distinct()
+    a, b = forms.select(F.col("group"), F.col("name").alias("na")), forms.select(F.col("group").alias("g2"), F.col("name").alias("nb"))
+    known = a.join(b, F.col("group") == F.col("g2")).select("group", "na", "nb", score(F.col("na"), F.col("nb")).alias("score"))
+    known = cut(known.select("group", "na", "nb", band.alias("band")).where("band is not null"))
+
+    def count(rows, pairs):
+        group = rows.sort_values("key", ascending=False)
+        names = {n: i for i, n in enumerate(dict.fromkeys(group["name"]))}
+        of = np.full((len(names), len(names)), bands, np.int8)
+        at = pairs["na"].map(names), pairs["nb"].map(names)
+        of[at[0].to_numpy(np.int64), at[1].to_numpy(np.int64)] = pairs["band"]
+        after, out = np.zeros(len(names)), np.zeros((len(group), bands), np.int64)
+        form, keys = group["name"].map(names).to_numpy(np.int64), group["key"].to_numpy()
+        new = np.append(True, keys[1:] != keys[:-1])
+        first = 0
+        for i in range(len(keys)):
+            if new[i]:  # items of the key before come after this one, those of its own key do not
+                np.add.at(after, form[first:i], 1)
+                first = i
+            out[i] = np.bincount(of[form[i]], after, bands + 1)[:bands]
+        i, k = np.nonzero(out)
+        return pd.DataFrame({"a": keys[i], "band": k.astype(np.int32), "c": out[i, k]})
+
+    kind = f"a {items.schema['key'].dataType.simpleString()}, band int, c long"
+    named = items.where("name is not null")
+    counts = named.groupBy("group").cogroup(known.groupBy("group")).applyInPandas(count, kind).groupBy("a", "band").agg(F.sum("c").alias("c"))
+    ranged = cut(counts.repartitionByRange("a").withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("__part", "band").agg(F.sum("c").alias("in_part"))
+    w = W.partitionBy("band")  # a row for each partition and band
+    parts = parts.select("__part", "band", (F.sum("in_part").over(w.orderBy("__part")) - F.col("in_part")).alias("start"), F.sum("in_part").over(w).alias("all"))
+    placed = ranged.join(F.broadcast(parts), ["__part", "band"]).withColumn("before", F.col("start") + F.sum("c").over(W.partitionBy("__part", "band").orderBy("a")) - F.col("c"))
+    placed = placed.withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("all") / per)))
+    some = cut(placed.where(F.least(F.floor((F.col("before") + F.col("c") - 1) / F.col("stride")), F.lit(per - 1)) >= F.ceil(F.col("before") / F.col("stride"))).select("a", "band", "before", "stride"))
+    x = items.select("group", F.col("key").alias("a"), F.col("name").alias("na")).join(some.select("a").distinct(), "a", "left_semi")
+    made = x.join(items.select("group", F.col("key").alias("b"), F.col("name").alias("nb")), "group").where("a < b").select("a", "b", score(F.col("na"), F.col("nb")).alias("score"))
+    ranked = made.withColumn("band", band).join(some, ["a", "band"]).withColumn("n", F.col("before") + F.row_number().over(W.partitionBy("a", "band").orderBy("b")) - 1)
+    return ranked.where((F.col("n") % F.col("stride") == 0) & (F.floor(F.col("n") / F.col("stride")) < per)).select("a", "b", "band")
 
 
 def band_sample(scored: DataFrame, bands: int, most: int) -> DataFrame:
