@@ -91,7 +91,13 @@ DIGITS = f"(?=[0-9])(?<!{WORD_CHAR})[0-9]++(?!{WORD_CHAR})"
 
 def count_tokens(text: Column) -> Column:
     """The number of :func:`tokens_of` without making them."""
-    return F.regexp_count(text, F.lit(f"{MARK}|[a-z{WORD_CHAR}]++"))
+    # regexp_count would make an array of them: each becomes one character, with the white space about it
+    one = F.regexp_replace(text, f"[{SPACES}]*+(?:[a-z{WORD_CHAR}]++|{MARK})[{SPACES}]*+", "x")
+    return F.length(F.regexp_replace(one, f"[{SPACES}]+", ""))  # white space only where no token is
+
+
+def count_marks(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, MARK, ""))
 
 
 def numbers_before(df: DataFrame, text_col: str, mark: str, keys: list[str]) -> DataFrame:

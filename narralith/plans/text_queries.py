@@ -53,9 +53,9 @@ def normalize_arabic(spark, d):
  SELECT doc_id, count(*) AS tokens, count(*) FILTER (length(word) = 1 AND contains('{T.PUNCTUATION}', word)) AS puncts, count(*) FILTER (regexp_full_match(word, '[0-9]+')) AS numbers FROM w GROUP BY doc_id""")
 def token_stats(spark, d):
     text = F.col("text")
-    counts = [T.count_tokens(text).alias("tokens"), F.regexp_count(text, F.lit(T.MARK)).alias("puncts"), F.regexp_count(text, F.lit(T.DIGITS)).alias("numbers")]
+    counts = [T.count_tokens(text).alias("tokens"), T.count_marks(text).alias("puncts"), F.regexp_count(text, F.lit(T.DIGITS)).alias("numbers")]
     df = table(spark, d, "documents").select("doc_id", *counts)
-    return df.where("tokens > 0").groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "puncts", "numbers")])
+    return df.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "puncts", "numbers")]).where("tokens > 0")
 
 
 @register(f"""WITH p AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{SPACE}+|{TOKEN}')) AS word, generate_subscripts(regexp_extract_all(text, '{SPACE}+|{TOKEN}'), 1) AS i FROM conversations),

@@ -67,7 +67,7 @@ def test_counts_of_tokens(spark, tmp_path):
 
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     tokens = {r.id: r.w for r in df.select("id", T.tokens_of(F.col("text")).alias("w")).collect()}
-    got = {r.id: tuple(r)[1:] for r in df.select("id", T.count_tokens(F.col("text")), F.regexp_count("text", F.lit(T.MARK)), F.regexp_count("text", F.lit(T.DIGITS))).collect()}
+    got = {r.id: tuple(r)[1:] for r in df.select("id", T.count_tokens(F.col("text")), T.count_marks(F.col("text")), F.regexp_count("text", F.lit(T.DIGITS))).collect()}
     digits = lambda w: w.isdigit() and w.isascii()
     assert got == {i: (len(w), sum(x in T.PUNCTUATION for x in w), sum(map(digits, w))) for i, w in tokens.items()}
     marks = sorted((r.id, r.tok_idx, r.word) for r in T.numbers_before(df, "text", "-", ["id"]).collect())
