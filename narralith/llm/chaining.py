@@ -74,27 +74,108 @@ def marks_of(words: list[bytes]) -> str:
     return DIGITS[hashes_of(words, 1) & 15].tobytes().decode()
 
 
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint64(bits) | h >> np.uint64(64 - bits)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``hashes_of(raw.split())`` and where the words start: XXH64 of all words at once, of those of 32 bytes or more one by one."""
+    edge = np.flatnonzero(np.diff(np.r_[True, BLANK[np.frombuffer(raw, np.uint8)], True].view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    data = np.frombuffer(raw + bytes(16 + -len(raw) % 8), "<u8")
+
+    def eight(at):
+        bits = (at & 7).astype(np.uint64) << np.uint64(3)
+        return data[at >> 3] >> bits | data[(at >> 3) + 1] << (np.uint64(63) - bits) << np.uint64(1)
+
+    h, at, left = P5 + size.astype(np.uint64), start.copy(), size.copy()
+    for _ in range(3):
+        on = np.flatnonzero(left >= 8)
+        h[on] = _turned(h[on] ^ (_turned(eight(at[on]) * P2, 31) * P1), 27) * P1 + P4
+        at[on] += 8
+        left[on] -= 8
+    rest = eight(at)
+    on = np.flatnonzero(left >= 4)
+    h[on] = _turned(h[on] ^ ((rest[on] & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    rest[on] >>= np.uint64(32)
+    left[on] -= 4
+    for k in range(3):
+        on = np.flatnonzero(left > k)
+        h[on] = _turned(h[on] ^ ((rest[on] >> np.uint64(8 * k) & np.uint64(255)) * P5), 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]])
+    return h, start
+
+
+def hashed(texts: list[bytes | None], room: int = 1 << 20):
+    """(hashes of the words of some successive texts, where each text's words start and the last's end): ``room`` bytes or one text at a time."""
+    held, size = [], 0
+    for last, text in enumerate(texts, 1 - len(texts)):
+        held.append(text or b"")
+        size += len(held[-1]) + 1
+        if size >= room or not last:
+            h, start = word_hashes(b"\n".join(held).translate(LOWER))
+            yield h, np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in held)]))
+            held, size = [], 0
+
+
 def seeds_of(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word place) of the winnowed seeds of a text."""
-    words = words_of(text)
-    n = len(words) - s.k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = hashes_of(words)
+    return seeds_of_all([(text or "").encode("utf-8", "surrogatepass")], s)[1:]
+
+
+def seeds_of_all(texts: list[bytes | None], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, hash, word place) of the winnowed seeds of texts, in order."""
+    found, row = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for w, edge in hashed(texts):
+        size = np.diff(edge)
+        h, at, lo = _winnowed(w, edge, s)
+        of = np.repeat(np.arange(len(size)), np.diff(lo))
+        found.append((row + of, h, at - edge[:-1][of]))
+        row += len(size)
+    row_, h, at = (np.concatenate(c) for c in zip(*found))
+    return row_, h.view(np.int64), at
+
+
+def _winnowed(w: np.ndarray, edge: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place) of the seeds of successive texts with these word hashes, and where each text's seeds start and the last's end."""
+    end = np.repeat(edge[1:], np.diff(edge))  # of the text, for each word
+    n = max(len(w) - s.k + 1, 0)
     h = np.zeros(n, np.uint64)
     for i in range(s.k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : n + i]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    span = min(s.window, n)
-    least = _slid(h, span, np.minimum)
-    most = _slid(np.r_[np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)], span, np.maximum)
-    at = np.flatnonzero(h == most)  # least in some window
-    if len(set(h[at].tolist())) < len(at):  # the first of equal ones in each window
-        rows = np.lib.stride_tricks.sliding_window_view(h, span)
-        at = np.unique(rows.argmin(1) + np.arange(n - span + 1))
-        at = at[thinned(h[at], at, span)]
-    return h[at].view(np.int64), at
+    at = np.zeros(0, np.int64)
+    if n >= s.window:
+        least = _slid(h, s.window, np.minimum)
+        whole = np.arange(len(least)) + s.window - 1 + s.k <= end[: len(least)]
+        none = np.zeros(s.window - 1, np.uint64)
+        most = _slid(np.r_[none, np.where(whole, least, np.uint64(0)), none], s.window, np.maximum)
+        at = np.flatnonzero((h == most) & (np.arange(n) + s.k <= end[:n]))  # least in some window
+    lo = np.searchsorted(at, edge)
+    every, parts, count = h[at].tolist(), [], []
+    for a, b, i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), lo[:-1].tolist(), lo[1:].tolist()):
+        grams = max(b - a - s.k + 1, 0)
+        got = at[i:j]
+        if grams < s.window:
+            got = a + np.argmin(h[a : a + grams])[None] if grams else at[:0]
+        elif len(set(every[i:j])) < j - i:  # the first of equal ones in each window
+            rows = np.lib.stride_tricks.sliding_window_view(h[a : a + grams], s.window)
+            got = a + np.unique(rows.argmin(1) + np.arange(grams - s.window + 1))
+            got = got[thinned(h[got], got, s.window)]
+        parts.append(got)
+        count.append(len(got))
+    at = np.concatenate(parts) if parts else at
+    return h[at], at, np.cumsum([0, *count])
 
 
 def _slid(h: np.ndarray, span: int, of: np.ufunc) -> np.ndarray:
@@ -212,6 +293,25 @@ def edits(a: list, b: list) -> int:
     return out
 
 
+def edits_of(w: np.ndarray, i: np.ndarray, j: np.ndarray, start: np.ndarray, end: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """``edits`` of the words w[i, start:end] and w[j, start:to] of many rows, of up to 62 words each."""
+    a, b = np.maximum(end - start, 0), np.maximum(to - start, 0)
+    step = np.arange(64)
+    most = w.shape[1] - 1
+    mine = w[i[:, None], np.minimum(start[:, None] + step, most)]
+    one = np.uint64(1)
+    every = (one << a.astype(np.uint64)) - one
+    top, up, down, out = (every >> one) + one, every, np.zeros(len(a), np.uint64), a.copy()
+    for y in range(int(b.max(initial=0))):
+        same = np.packbits(mine == w[j, np.minimum(start + y, most)][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0] & every
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(diagonal | up)), up & diagonal
+        out += np.where(y < b, ((more & top) > 0).astype(np.int64) - ((less & top) > 0), 0)
+        more = more << one | one
+        up, down = ((less << one) | (every & ~(diagonal | more))) & every, more & diagonal & every
+    return np.where(a > 0, out, b)
+
+
 def grow(a: list, b: list, s: Settings, agree: int = 8) -> tuple[int, int, int]:
     """How far both lists agree from their starts, with single words changed where ``agree`` agree after: (words of a, words of b, edits)."""
     i = j = cost = 0
@@ -393,15 +493,15 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def buckets(keys: np.ndarray, rows: np.ndarray, label: np.ndarray):
     """The rows of each key that has more than one label, in order."""
-    order = np.lexsort((label, keys))
-    two = (keys[order][1:] == keys[order][:-1]) & (label[order][1:] != label[order][:-1])
-    some = np.isin(keys, keys[order][1:][two])
-    keys, rows = keys[some], rows[some]
-    order = np.lexsort((rows, keys))
-    edge = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1], True])
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        if b - a > 1:
-            yield rows[order[a:b]]
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    keys, rows, label = keys[order], rows[order], label[order]
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    first = edge[:-1]
+    two = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    for a, b in zip(first[two].tolist(), edge[1:][two].tolist()):
+        yield np.sort(rows[a:b])
 
 
 class Places:
@@ -421,6 +521,7 @@ class Places:
         self.near, self.offset = np.frombuffer(b"".join(near), np.int64), np.frombuffer(b"".join(offsets), np.int16).astype(np.int64)
         self.mine = np.searchsorted(self.owner, np.arange(self.n + 1))
         self.cls = list(range(self.n))
+        self.tops: np.ndarray | None = None  # classes() until the next join
         lead: dict[int, int] = {}
         for i in np.flatnonzero(linked).tolist():
             self.cls[i] = lead.setdefault(int(h[i]), i)
@@ -438,15 +539,19 @@ class Places:
         return i
 
     def classes(self) -> np.ndarray:
-        out = np.array(self.cls, np.int64)
-        while (out != (top := out[out])).any():
-            out = top
-        return out
+        if self.tops is None:
+            out = np.array(self.cls, np.int64)
+            while (out != (top := out[out])).any():
+                out = top
+            self.tops = out
+        return self.tops
 
     def join(self, i: int, j: int) -> bool:
         """Whether the classes were two; they are one after."""
         i, j = self.of(i), self.of(j)
-        self.cls[max(i, j)] = min(i, j)
+        if i != j:
+            self.cls[max(i, j)] = min(i, j)
+            self.tops = None
         return i != j
 
     def again(self, i: int, j: int) -> bool:
@@ -537,10 +642,10 @@ class Places:
             rows = np.arange(self.n)
             for d in range(need):
                 rows = rows[room[rows] >= d + n]
-                rows = rows[repeated(self.prefix[side, d, rows])]
+                rows, alone = self._agreeing(side, d, rows)
                 if not len(rows):
                     break
-                fork = rows[~np.isin(self.prefix[side, d, rows], self._alone(side, d, rows))]
+                fork = rows[~alone]
                 if not len(fork):
                     continue
                 key = lambda shift, at: mixed(self.prefix[side, d, at], np.zeros(1, np.uint32)) ^ run[d + shift, at]  # noqa: E731,B023
@@ -549,19 +654,38 @@ class Places:
                     at = deep[a] if a == b else np.r_[deep[a], deep[b]]
                     keys = key(a, deep[a]) if a == b else np.r_[key(a, deep[a]), key(b, deep[b])]
                     for group in buckets(keys, at, w[at, d]):
-                        group = np.unique(group)
-                        yield from self._across(group, w[group, d])
+                        group = group[np.r_[True, group[1:] != group[:-1]]]
+                        yield from (self._across if len(group) > 24 else self._across_few)(group, w[group, d])
 
-    def _alone(self, side: int, d: int, rows: np.ndarray) -> np.ndarray:
-        """Prefixes after which one word follows in all rows."""
+    def _agreeing(self, side: int, d: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose prefix others have too, and whether one word follows in all of these."""
+        if not len(rows):
+            return rows, np.zeros(0, bool)
         now, then = self.prefix[side, d, rows], self.prefix[side, d + 1, rows]
-        _, first = np.unique(then, return_index=True)
-        value, times = np.unique(now[first], return_counts=True)
-        return value[times == 1]
+        order = np.argsort(now, kind="stable")
+        first = np.flatnonzero(np.r_[True, now[order][1:] != now[order][:-1]])
+        size = np.diff(np.r_[first, len(rows)])
+        one = np.minimum.reduceat(then[order], first) == np.maximum.reduceat(then[order], first)
+        again, alone = np.empty(len(rows), bool), np.empty(len(rows), bool)
+        again[order], alone[order] = np.repeat(size > 1, size), np.repeat(one, size)
+        return rows[again], alone[again]
+
+    def _across_few(self, group: np.ndarray, word: np.ndarray):
+        """As ``_across``, for short groups."""
+        items = list(zip(group.tolist(), word.tolist(), map(self.of, group.tolist()), self.doc[group].tolist()))
+        times: dict[int, int] = {}
+        for _, v, _, _ in items:
+            times[v] = times.get(v, 0) + 1
+        common = min(times, key=lambda v: (-times[v], v))
+        for i, v, c, d in items:
+            if v != common:
+                for j, u, e, f in items:
+                    if c != e and d != f and v != u and (u == common or j > i):
+                        yield min(i, j), max(i, j)
 
     def _across(self, group: np.ndarray, word: np.ndarray):
         """Pairs of different next words, classes and documents; places with the commonest word only meet the rest."""
-        cls, doc = np.array([self.of(i) for i in group.tolist()]), self.doc[group]
+        cls, doc = self.classes()[group], self.doc[group]
         value, times = np.unique(word, return_counts=True)
         rest = word != value[times.argmax()]
         for a in np.flatnonzero(rest).tolist():
@@ -613,22 +737,40 @@ class Places:
             ordinal = np.searchsorted(new_key, at, side="right")
             line = ordinal * 1024 + o
             hi = np.searchsorted(line, line + np.minimum(farthest, 1023 - o), side="right")
+            # places of a key's largest class meet the rest only
+            rest = self.classes()[i] != self._largest(ordinal, self.classes()[i])
+            few = np.flatnonzero(rest)
+            lo, hi = np.where(rest, lo, np.searchsorted(few, lo)), np.where(rest, hi, np.searchsorted(few, hi))
             size = np.maximum(hi - lo, 0)
-            total = np.r_[0, np.cumsum(size)]
+            doc, total = self.doc[i], np.r_[0, np.cumsum(size)]
             start = 0
             while start < len(i):
                 stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 17), side="right")) - 1)
                 for low in range(0, int(size[start]), 1 << 17) if stop == start + 1 else (0,):
                     part = size[start:stop] if stop > start + 1 else np.minimum(size[start:stop] - low, 1 << 17)
                     a = np.repeat(at[start:stop], part)
-                    b = lo[a] + np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + low
-                    cls = self.classes()
-                    good = (cls[i[a]] != cls[i[b]]) & (self.doc[i[a]] != self.doc[i[b]])
+                    b = np.arange(len(a)) + np.repeat(lo[start:stop] + low - np.cumsum(part) + part, part)
+                    if len(few):
+                        b = np.where(rest[a], b, few[np.minimum(b, len(few) - 1)])
+                    cls = self.classes()[i]
+                    good = np.flatnonzero((cls[a] != cls[b]) & (doc[a] != doc[b]))
+                    a, b = a[good], b[good]
+                    # the same words up to the nearer seed's end: it lies where they agree
+                    good = np.flatnonzero(self.prefix[side, o[a], i[a]] != self.prefix[side, o[a], i[b]])
                     a, b = a[good], b[good]
                     for at_ in range(0, len(a), 1 << 14):
                         yield from self.close(i, o, a[at_ : at_ + (1 << 14)], b[at_ : at_ + (1 << 14)], side, sums)
                 start = stop
 
+    def _largest(self, key: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """For each row the class that most rows of its key have; keys are in order."""
+        order = np.lexsort((cls, key))
+        new = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (cls[order][1:] != cls[order][:-1])])
+        size, of = np.diff(np.r_[new, len(key)]), key[order][new]
+        by = np.lexsort((-size, of))
+        best = by[np.r_[True, of[by][1:] != of[by][:-1]]]
+        return np.repeat(cls[order][new][best], np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]))
+
     def sums(self, side: int) -> np.ndarray:
         """How many of the words up to each have each of 32 values of their hash: a byte for each value, eight in a number."""
         w = self.words[:, side]
@@ -661,6 +803,16 @@ class Places:
         room = t / 2 * (run + other + k + most)
         gap = np.maximum(x, y) - run
         keep((x + k > run) & (y + k > run) & (np.abs(x - y) <= t * gap + np.maximum(2 * room, room + t / 2 * most) + 1e-9))
+        if not len(i):
+            return
+        # words of either gap that the other has not: no fewer than these
+        in_a, in_b = (np.ascontiguousarray(sums[v, np.maximum(z, run)] - sums[v, run]).view(np.uint8).astype(np.int16) for v, z in ((i, x), (j, y)))
+        more = np.maximum(in_a - in_b, 0).sum(1)
+        least = np.maximum(more, more - in_a.sum(1) + in_b.sum(1))
+        room = t / 2 * (run + other + k + most)
+        good = least <= t * np.maximum(np.maximum(x, y) - run, 0) + np.maximum(2 * room, room + t / 2 * most) + 1e-9
+        least = least[good]
+        keep(good)
         if not len(i):
             return
         w, there = self.words[:, side], self.room[:, side]
@@ -677,14 +829,13 @@ class Places:
         ends = np.maximum(x, y) + k + after >= reach
         room = t / 2 * (run + other + k + np.where(ends, most, np.minimum(k + after + before, most)))
         cost = t * np.maximum(np.maximum(x, y) - run, 0) + np.maximum(2 * room, room + t / 2 * most) + 1e-9
-        # words of either gap that the other has not: no fewer than these
-        in_a, in_b = (np.ascontiguousarray(sums[v, np.maximum(z, run)] - sums[v, run]).view(np.uint8).astype(np.int16) for v, z in ((i, x), (j, y)))
-        more = np.maximum(in_a - in_b, 0).sum(1)
-        least = np.maximum(more, more - in_a.sum(1) + in_b.sum(1))
         good = least <= cost
-        for p, q, x, y, r, c in zip(*(v[good].tolist() for v in (i, j, x, y, run, cost))):
+        keep(good)
+        cost = cost[good]
+        known = edits_of(w, i, j, run, x, y) if len(i) > 12 else None
+        for at, (p, q, x, y, r, c) in enumerate(zip(*(v.tolist() for v in (i, j, x, y, run, cost)))):
             pair = (p, q) if p < q else (q, p)
-            if self.of(p) != self.of(q) and pair[0] * self.n + pair[1] not in self.tried and edits(w[p, r : max(x, r)].tolist(), w[q, r : max(y, r)].tolist()) <= c:
+            if self.of(p) != self.of(q) and pair[0] * self.n + pair[1] not in self.tried and (edits(w[p, r : max(x, r)].tolist(), w[q, r : max(y, r)].tolist()) if known is None else known[at]) <= c:
                 yield pair
 
 
@@ -707,14 +858,13 @@ def _with_surroundings(occurrences: DataFrame, texts: DataFrame, s: Settings) ->
 
     def run(batches):
         for b in batches:
-            of, text = b.column(2), b.column(1)
+            of, texts_ = b.column(2), b.column(1).cast(pa.binary()).to_pylist()
             edge = of.offsets.to_numpy()
             every = {c: of.values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "x", "linked", "open")}
             held, count = [], 0
-            for row in range(b.num_rows):
-                words = words_of(text[row].as_py())
+            for row, words in enumerate(h[lo:hi] for h, place in hashed(texts_) for lo, hi in zip(place[:-1], place[1:])):
                 marks = np.zeros(len(words) + 2 * reach, np.uint32)
-                marks[reach : reach + len(words)] = hashes_of(words).astype(np.uint32)
+                marks[reach : reach + len(words)] = words.astype(np.uint32)
                 h, at, linked, open_ = (every[c][edge[row] : edge[row + 1]] for c in ("h", "x", "linked", "open"))
                 at = at.astype(np.int64)
                 places = np.flatnonzero(open_)
@@ -846,9 +996,8 @@ def passages(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
 
     def seeds(batches):
         for b in batches:
-            got = [seeds_of(t, s) for t in b.column(1).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(len(got)), [len(h) for h, _ in got]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in got] or [np.zeros(0, np.int64)])), b.column(0).take(rows), pa.array(np.concatenate([x for _, x in got] or [np.zeros(0, np.int64)]).astype(np.int32))], names=schema.names)
+            rows, h, x = seeds_of_all(b.column(1).cast(pa.binary()).to_pylist(), s)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(rows)), pa.array(x.astype(np.int32))], names=schema.names)
 
     every = cut(texts.mapInArrow(released(seeds), schema))
     first = every.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("p"), F.count("*").alias("c")).where("c > 1")

@@ -274,3 +274,50 @@ def test_a_pair_of_places_is_aligned_once():
     places.chained = lambda i, j: (seen.append((i, j)), once(i, j))[1]
     list(places.links())
     assert seen and len(seen) == len(set(seen))
+
+
+def test_word_hashes_are_those_of_the_words():
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"abcdef\xc3\xa9\x1c\x85\x00") for _ in range(rng.randint(1, 70))) for _ in range(3000)]
+    raw = b"".join(w + rng.choice([b" ", b"\t \n", b"\x0b", b"\x0c\r"]) for w in words)
+    h, start = C.word_hashes(raw)
+    assert h.tolist() == C.hashes_of(raw.split()).tolist() and [raw[i:].split(None, 1)[0] for i in start.tolist()] == raw.split()
+    assert not len(C.word_hashes(b"")[0]) and not len(C.word_hashes(b" \n")[0])
+
+
+def test_seeds_of_a_batch_are_those_of_each_text():
+    rng = random.Random(6)
+    texts = [None, "", "a"] + [" ".join(rng.choice(["a", "B", "cc", "é"][: rng.randint(1, 4)]) for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    row, h, at = C.seeds_of_all([t if t is None else t.encode() for t in texts], S)
+    each = [C.seeds_of(t, S) for t in texts]
+    assert row.tolist() == np.repeat(np.arange(len(texts)), [len(x) for x, _ in each]).tolist()
+    assert h.tolist() == np.concatenate([x for x, _ in each]).tolist() and at.tolist() == np.concatenate([x for _, x in each]).tolist()
+
+
+def test_edits_of_many():
+    rng = np.random.default_rng(7)
+    w = rng.integers(0, 3, (400, 64)).astype(np.uint32)
+    i, j, start, end, to = (rng.integers(0, m, 500) for m in (400, 400, 30, 59, 59))
+    assert C.edits_of(w, i, j, start, end, to).tolist() == [C.edits(w[a, s : max(s, e)].tolist(), w[b, s : max(s, t)].tolist()) for a, b, s, e, t in zip(i, j, start, end, to)]
+
+
+def test_seeds_nearby_where_words_agree_are_not_compared(monkeypatch):
+    """Places in runs of one word, all of the same words but for where the run ends: the seeds nearby lie where they agree."""
+    n, reach = 60, C.reach_of(S)
+    rng = np.random.default_rng(8)
+    around = np.full((n, 2, reach), 7, np.uint32)
+    around[:, :, 40:] = rng.integers(100, 1 << 30, (n, 2, reach - 40))
+    near, at = [np.repeat(np.int64(5), 3).tobytes()] * n, [np.array([8, 16, 24], np.int16).tobytes()] * n
+    places = C.Places(np.full(n, 5, np.int64), np.arange(n), np.zeros(n, bool), around, np.full((n, 2), reach), near, at, S)
+    seen = []
+    close = C.Places.close
+    monkeypatch.setattr(C.Places, "close", lambda self, i, o, a, *rest: (seen.append(len(a)), close(self, i, o, a, *rest))[1])
+    list(places.apart())
+    assert sum(seen) == 0
+
+
+def test_buckets():
+    none = np.zeros(0, np.int64)
+    assert list(C.buckets(none, none, none)) == []
+    got = C.buckets(np.array([3, 1, 3, 1, 2]), np.array([9, 8, 7, 6, 5]), np.array([1, 1, 2, 1, 1]))
+    assert [x.tolist() for x in got] == [[7, 9]]
